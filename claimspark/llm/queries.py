@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import chat, quality, toxicity
+from claimspark.llm import chat, media, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_query,
     "op2_toxicity": toxicity.op2_query,
     "op3_quality": quality.op3_query,
+    "op4_media_columns": media.op4_query,
+    "op5_simhash": simhash.op5_query,
 }
 
 ORACLES: dict[str, str] = {"op1_chat_formatting": chat.OP1_SQL}
