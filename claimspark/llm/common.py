@@ -47,8 +47,8 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column, cap: int = LABELLED_ROWS) -> DataFrame:
-    """text and y of labelled documents, at most ``cap`` ids: those whose ids' hashes are smallest.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Column, cap: int = LABELLED_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
+    """text, y and the columns ``also`` of labelled documents, at most ``cap`` ids: those whose ids' hashes are smallest.
 
     ``usable`` is over the column doc_id. An id with several labels takes the largest; null labels and ids are left out.
     Only the ids and labels, bounded by ``cap``, pass through the driver.
@@ -64,8 +64,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
         .collect()
     )
     chosen = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *also)
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", *also)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
