@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import toxicity
+from claimspark.llm import decontaminate, mixing, simhash, suffix, toxicity
 from claimspark.llm.common import table, written
 
-STAGES = [("toxicity", toxicity.stage)]
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("simhash near-duplicates", simhash.stage),
+    ("suffix-array duplicates", suffix.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("mixing to target weights", mixing.stage),
+]
 
 #: SQL can't express the stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
@@ -18,5 +24,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = written(docs, name.replace(" ", "-"))
     return docs
