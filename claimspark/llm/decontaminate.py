@@ -2,8 +2,8 @@
 
 Benchmark items are a stated query set: they are taken in blocks of bounded bytes, and each block is held against all
 documents, so that what a task holds of the benchmark never grows with it. A first pass counts in how many documents
-each n-gram of the block occurs. Rare n-grams are seeds; rarity is relative to the item's rarest n-gram as well, so an
-item that has leaked into many documents keeps its seeds. A second pass aligns an item with a document's words around
+each n-gram of the block occurs. Rare n-grams are seeds; rarity is relative to the item's lower quartile as well, so an item
+that has leaked into many documents keeps its seeds. A second pass aligns an item with a document's words around
 seeds that it shares with it. Words are matched by hash; the score is the alignment's share of a perfect one.
 """
 
@@ -24,7 +24,7 @@ from claimspark.llm.grams import gram_hashes, word_hashes
 GRAM = 3
 #: Bytes of item texts that one pass holds.
 BLOCK_BYTES = 8 << 20
-#: A seed occurs in at most this share of the documents, or in at most so many times those of the item's rarest n-gram.
+#: A seed occurs in at most this share of the documents, or in at most so many times those of the item's lower quartile.
 RARE_SHARE, RARE_TIMES = 0.01, 4
 #: Shares of a perfect alignment from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -58,9 +58,11 @@ def block_of(rows: list[tuple[int, str | None]], gram: int = GRAM) -> Items:
 def rare(items: Items, found_in: dict[int, int], n_docs: int) -> Items:
     """The block with the seeds only. ``found_in``: in how many documents each n-gram occurs."""
     df = np.array([found_in.get(int(g), 0) for g in items.grams.view(np.int64)], np.int64)
-    least = np.full(len(items.ids), np.iinfo(np.int64).max // RARE_TIMES)
-    np.minimum.at(least, items.item, df)
-    keep = df <= np.maximum(RARE_SHARE * n_docs, RARE_TIMES * least[items.item])
+    order = np.lexsort((df, items.item))
+    begins = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
+    quarter = np.minimum(begins[:-1] + np.diff(begins) // 4, max(0, len(df) - 1))
+    usual = np.maximum(1, df[order][quarter]) if len(df) else np.ones(len(items.ids), np.int64)
+    keep = df <= np.maximum(RARE_SHARE * n_docs, RARE_TIMES * usual[items.item])
     return Items(items.ids, items.words, items.grams[keep], items.item[keep], items.place[keep])
 
 

@@ -153,10 +153,12 @@ class ArchiveReader(DataSourceReader):
                 if source is None or attempt:
                     source = self._open(file)
                 magic, n, size, crc = HEAD.unpack(source.read_at(HEAD.size, offset))
+                if magic != MAGIC:
+                    raise OSError(f"no member begins at {offset} of {file}")
                 named = n != 0xFFFFFFFF
                 n = n if named else 0
                 body = source.read_at(n + size, offset + HEAD.size)
-                if magic != MAGIC or len(body) != n + size or zlib.crc32(body[n:]) != crc:
+                if len(body) != n + size or zlib.crc32(body[n:]) != crc:
                     raise OSError(f"damaged member at {offset} of {file}")
                 return (body[:n].decode() if named else None), body[n:]
             except (OSError, struct.error):
