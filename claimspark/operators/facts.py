@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.compare import low
 from claimspark.functions.normalize import with_entity, with_period, with_predicate, with_value
-from claimspark.functions.text import collapsed
+from claimspark.functions.text import collapsed, rounded
 
 FACTS = (
     "id string, seq bigint, document_id string, document_name string, page_number int, subject string, predicate string, value_raw string, "
@@ -30,8 +30,8 @@ def normalize(facts: DataFrame) -> DataFrame:
 
 
 def value_text(value: Column, raw: Column) -> Column:
-    """A number without needless zeros, in plain decimals; else the text."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), r"\.$", "")
+    """A number of at most six places without needless zeros, in plain decimals; else the text."""
+    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", rounded(value, 6)), "0+$", ""), r"\.$", "")
     return F.when(value.isNull(), raw).otherwise(plain)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.functions.text import filled
+from claimspark.functions.text import filled, has_any
 
 KEYS = {"documents": ["document_id"], "pages": ["document_id", "page_number"], "facts": ["id"], "comparisons": ["id"]}
 
@@ -106,20 +106,24 @@ def store_stats(documents: DataFrame, pages: DataFrame, facts: DataFrame, compar
     return out
 
 
-#: Named views: relationship, and a text that the reason or the subjects hold.
-DEMO_CASES = {
-    "corroborate": ("CORROBORATES", "gdp"),
-    "investigate": ("UNCERTAIN", ""),
-    "vintage_reconcile": ("RECONCILABLE", "vintage"),
-    "director_reconcile": ("RECONCILABLE", "board status"),
-    "scope_failure": ("RECONCILABLE", "scope"),
-}
+def demo_cases(agree: tuple[str, ...] = ("gdp",), examine: tuple[str, ...] = ("cpi", "inflation")) -> dict[str, Column]:
+    """Named views of listed relationships: terms of both subjects, terms of either, and texts of the reason.
 
+    ``date`` is looked for anywhere in a reason, so it's also found in "consolidated".
+    """
+    a, b, reason = F.lower("a_subject"), F.lower("b_subject"), F.lower("reason")
+    reconcilable = F.col("relationship") == "RECONCILABLE"
+    return {
+        "corroborate": (F.col("relationship") == "CORROBORATES") & has_any(a, agree) & has_any(b, agree),
+        "investigate": has_any(a, examine) | has_any(b, examine),
+        "vintage_reconcile": reconcilable & has_any(reason, ("vintage", "advance estimate")),
+        "director_reconcile": reconcilable & has_any(reason, ("temporal", "resignation", "cessation", "date")),
+        "scope_failure": reconcilable & (F.col("dimensions.scope") == "different"),
+    }
 
-def demo_case(listed: DataFrame, name: str) -> DataFrame:
-    relationship, word = DEMO_CASES[name]
-    held = F.concat_ws(" ", F.lower("reason"), F.lower("a_subject"), F.lower("b_subject"))
-    return listed.where((F.col("relationship") == relationship) & held.contains(word))
+
+def demo_case(listed: DataFrame, name: str, **terms: tuple[str, ...]) -> DataFrame:
+    return listed.where(demo_cases(**terms)[name])
 
 
 def decoded_value(facts: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ QUERIES |= {f"rule_{name}": partial(_of_rule, name=name) for name in RULE_NAMES}
 
 @query
 def fact_search(spark, sf):
-    return store.search_facts(stored_norm(spark, sf), search="Algeria").select("id", "subject")
+    return store.search_facts(stored_norm(spark, sf), search="NATION_7 ").select("id", "subject")
 
 
 @query
@@ -242,13 +242,14 @@ def store_stats(spark, sf):
     return store.store_stats(facts.select("document_id").distinct(), bridge.pages(spark, sf), facts, found(spark, sf))
 
 
-@query
-def demo_case_corroborate(spark, sf):
-    held = F.lower(F.concat_ws(" ", "a_subject", "b_subject")).contains("algeria")
-    return listed(spark, sf, relationship="CORROBORATES").where(held).select("id")
+DEMO_TERMS = {"agree": ("nation_1",), "examine": ("nation_2 ",)}
+
+
+def _demo(spark, sf, name):
+    return store.demo_case(listed(spark, sf), name, **DEMO_TERMS).select("id")
 
 
-QUERIES |= {f"demo_case_{name}": partial(lambda spark, sf, name: store.demo_case(listed(spark, sf), name).select("id"), name=name) for name in store.DEMO_CASES if name != "corroborate"}
+QUERIES |= {f"demo_case_{name}": partial(_demo, name=name) for name in ("corroborate", "investigate", "vintage_reconcile", "director_reconcile", "scope_failure")}
 
 
 def _evaluated(spark, sf, every: int) -> DataFrame:
