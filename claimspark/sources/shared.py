@@ -24,3 +24,8 @@ def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> Dat
         build().write.parquet(path)
         _WRITTEN[known] = path
     return spark.read.parquet(_WRITTEN[known])
+
+
+def forget() -> None:
+    """Tables are written afresh from now on; those that are there stay."""
+    _WRITTEN.clear()
