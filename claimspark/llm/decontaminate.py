@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Benchmark items are a stated query set: they are taken in blocks of bounded bytes, and each block is held against all
-documents, so that what a task holds of the benchmark never grows with it. A first pass counts in how many documents
-each n-gram of the block occurs. Rare n-grams are seeds; rarity is relative to the item's lower quartile as well, so an item
-that has leaked into many documents keeps its seeds. A second pass aligns an item with a document's words around
-seeds that it shares with it. Words are matched by hash; the score is the alignment's share of a perfect one.
+documents, so that what a task holds of the benchmark never grows with it. Every n-gram of an item is a seed, however
+many documents hold it, so copies are found alike whether an item has leaked into one document or into most. Items that
+share frequent n-grams with a document are sorted out by bounds that no alignment over the threshold can break: how
+many of the item's words the document holds at all, and within as many words as an alignment can span. The rest is
+aligned there. Words are matched by hash; the score is the alignment's share of a perfect one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +24,6 @@ from claimspark.llm.grams import gram_hashes, word_hashes
 GRAM = 3
 #: Bytes of item texts that one pass holds.
 BLOCK_BYTES = 8 << 20
-#: A seed occurs in at most this share of the documents, or in at most so many times those of the item's lower quartile.
-RARE_SHARE, RARE_TIMES = 0.01, 4
 #: Shares of a perfect alignment from which a document counts as contaminated.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -55,17 +53,6 @@ def block_of(rows: list[tuple[int, str | None]], gram: int = GRAM) -> Items:
     return Items([r[0] for r in rows], words, every[order], item[order], place[order])
 
 
-def rare(items: Items, found_in: dict[int, int], n_docs: int) -> Items:
-    """The block with the seeds only. ``found_in``: in how many documents each n-gram occurs."""
-    df = np.array([found_in.get(int(g), 0) for g in items.grams.view(np.int64)], np.int64)
-    order = np.lexsort((df, items.item))
-    begins = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
-    quarter = np.minimum(begins[:-1] + np.diff(begins) // 4, max(0, len(df) - 1))
-    usual = np.maximum(1, df[order][quarter]) if len(df) else np.ones(len(items.ids), np.int64)
-    keep = df <= np.maximum(RARE_SHARE * n_docs, RARE_TIMES * usual[items.item])
-    return Items(items.ids, items.words, items.grams[keep], items.item[keep], items.place[keep])
-
-
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with linear gaps: the best score, and where its alignment starts and ends in ``words``."""
     n = len(words)
@@ -94,71 +81,58 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def regions(held: np.ndarray, span: int, least: float) -> list[tuple[int, int]]:
+    """(start, end) of the runs of places that lie in windows of ``span`` places with ``least`` or more held ones."""
+    n = len(held)
+    sums = np.concatenate([[0], np.cumsum(held)])
+    ends = np.minimum(np.arange(n) + span, n)
+    begins = np.flatnonzero(sums[ends] - sums[:n] >= least)
+    if not len(begins):
+        return []
+    new = np.flatnonzero(begins[1:] > ends[begins[:-1]]) + 1
+    return list(zip(begins[np.append(0, new)].tolist(), ends[begins[np.append(new - 1, -1)]].tolist(), strict=True))
+
+
 def leaks_in(text: str | None, seeds: Items, threshold: float = THRESHOLD, gram: int = GRAM) -> list[tuple[int, float, int, int]]:
-    """(item_id, score, first word, word after the last) of each item that the text holds a copy of."""
+    """(item_id, score, first word, word after the last) of each item that the text holds a copy of.
+
+    A copy shares two n-grams with its item, or the only one that the item has.
+    """
     words = word_hashes(text)
     grams = gram_hashes(words, gram)
     if not len(grams) or not len(seeds.grams):
         return []
-    first = np.searchsorted(seeds.grams, grams)
-    hit = np.flatnonzero(seeds.grams[np.minimum(first, len(seeds.grams) - 1)] == grams)
-    if not len(hit):
+    distinct = np.unique(grams)
+    first, last = np.searchsorted(seeds.grams, distinct), np.searchsorted(seeds.grams, distinct, side="right")
+    counts = last - first
+    row = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(row):
+        return []
+    shared, places = np.unique(seeds.item[row], return_counts=True)  # a row is a place of an item
+    sizes = np.array([len(seeds.words[i]) for i in shared.tolist()])
+    some = places >= np.minimum(2, sizes - gram + 1)
+    shared, sizes = shared[some], sizes[some]
+    if not len(shared):
         return []
-    last = np.searchsorted(seeds.grams, grams[hit], side="right")
-    counts = last - first[hit]
-    row = np.repeat(first[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    where = np.repeat(hit, counts)
-    by_item = defaultdict(list)
-    for i, place, at in zip(seeds.item[row].tolist(), seeds.place[row].tolist(), where.tolist(), strict=True):
-        by_item[i].append((at - place, place))
+    known = np.unique(words)
+    every = np.concatenate([seeds.words[i] for i in shared.tolist()])
+    occurs = known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every
+    within = np.add.reduceat(occurs.astype(np.int64), np.cumsum(sizes) - sizes)
     out = []
-    for i, hits in by_item.items():
+    for i, m in zip(shared[within >= threshold * sizes].tolist(), sizes[within >= threshold * sizes].tolist(), strict=True):
         item = seeds.words[i]
-        m = len(item)
-        reach = m // 2 + 8
-        hits.sort()
+        # matches - 1/2 (mismatches + gaps) >= threshold x m: so many matches at least, and so many words' gaps at most
+        span = m + int(2 * m * (1 - threshold))
         best: tuple[int, int, int] | None = None
-        a = 0
-        while a < len(hits):  # series of hits on nearby diagonals
-            b = a + 1
-            while b < len(hits) and hits[b][0] - hits[b - 1][0] <= reach:
-                b += 1
-            if len({p for _, p in hits[a:b]}) >= min(2, m - gram + 1):
-                low, high = max(0, hits[a][0] - reach), min(len(words), hits[b - 1][0] + m + reach)
-                score, s, e = align(item, words[low:high])
-                if best is None or score > best[0]:
-                    best = (score, low + s, low + e)
-            a = b
+        for low, high in regions(np.isin(words, item), span, threshold * m):
+            score, s, e = align(item, words[low:high])
+            if best is None or score > best[0]:
+                best = (score, low + s, low + e)
         if best and best[0] >= threshold * MATCH * m:
             out.append((seeds.ids[i], best[0] / (MATCH * m), best[1], best[2]))
     return out
 
 
-def document_counts(docs: DataFrame, items: Items) -> tuple[dict[int, int], int]:
-    """In how many documents each n-gram of the block occurs, and how many documents there are.
-
-    What reaches the driver is bounded by the block.
-    """
-    wanted = np.unique(items.grams)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(wanted), np.int64), 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                grams = gram_hashes(word_hashes(text), GRAM)
-                n += 1
-                if len(grams) and len(wanted):
-                    at = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
-                    total[np.unique(at[wanted[at] == grams])] += 1
-        some = np.flatnonzero(total)
-        keys = np.append(wanted[some].view(np.int64), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.append(total[some], n)), pa.array(np.append(np.zeros(len(some), bool), True))], ["gram", "n", "all"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(count, "gram long, n long, all boolean").groupBy("gram", "all").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"]: r["n"] for r in rows if not r["all"]}, sum(r["n"] for r in rows if r["all"])
-
-
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Items (id, text) in blocks of about ``most`` bytes, dealt by the hash of their ids."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -179,8 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     found = None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for part in blocks(benchmark):
-        items = block_of(part)
-        seeds = rare(items, *document_counts(rows, items))
+        seeds = block_of(part)
 
         def search(batches: Iterator[pa.RecordBatch], seeds: Items = seeds) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -210,8 +183,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float =
     """Documents that hold no copy of a benchmark item. Rows without doc_id are judged by their own texts too."""
     kept = docs
     for part in blocks(table(spark, sf_dir, "benchmark")):
-        items = block_of(part)
-        seeds = rare(items, *document_counts(docs.select("text"), items))
+        seeds = block_of(part)
         kept = kept.where(~_holds_any(seeds, threshold)("text"))
     small_batches(spark)
     return kept

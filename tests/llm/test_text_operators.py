@@ -277,3 +277,14 @@ def test_seeds_of_items_that_leak_everywhere(docs_of, spark):
     docs = docs_of([f"doc {i} " + item for i in range(50)])
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert decontaminate.contaminated(docs, benchmark).count() == 50
+
+
+def test_edited_copies_in_a_third_of_the_documents(docs_of, spark):
+    rng = random.Random(9)
+    items = [prose(rng, 30).split(), prose(rng, 16).split()]
+    begun, swapped = items[0][:18], list(items[1])
+    swapped[5], swapped[10] = "other", "words"
+    docs = docs_of([prose(rng, 20) + " " + " ".join([begun, swapped, []][i % 3]) for i in range(300)])
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(i, i % 3) for i in range(300) if i % 3 < 2}
