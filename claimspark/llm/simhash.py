@@ -6,10 +6,17 @@ into 10 blocks, one for each pair of parts, and no link is lost. Within a block,
 (ones, twos, over), plane by plane, and a group of 64 is abandoned when all of it is over the radius. Blocks of many
 different fingerprints are cut into tiles, and pairs of tiles are compared in different tasks. A task passes on a
 spanning forest of the links that it finds, never all pairs of a group of copies.
+
+The pipeline stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets
+share one of the smallest hashes of each, of a number that follows from the size, so postings of these prefixes bring
+all such pairs together. Sizes and the distance of fingerprints, within a wide radius, leave candidates, and links are
+candidates whose sets are similar enough. First each set meets the smallest one of each posting; after that only sets
+of different components meet, so a group of near copies never makes all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructType
 
 from claimspark.llm.common import small_batches, table, written
 from claimspark.llm.components import components
@@ -27,17 +34,20 @@ SHINGLE = 3
 RADIUS = 3
 #: (first bit, number of bits) of the parts
 PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Of the pipeline stage: words of a shingle, the least Jaccard similarity, and the most differing bits of a candidate. At
+#: a similarity of 0.8 about 10 of 64 bits differ, with a deviation of 3.
+STAGE_SHINGLE, SIMILAR, STAGE_RADIUS = 5, 0.8, 22
 #: Fingerprints of a block that one task compares with as many others.
 TILE = 2048
 #: Hashes that are counted at once; only a bound on memory.
 HASHES = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """Bits that over half of the shingles' hashes have. A text without words has fingerprint 0."""
+def _shingles(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in pieces; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and the six ASCII spaces only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -46,14 +56,30 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     else:
         starts, ends = starts[:1], ends[-1:]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    total = np.zeros(64, np.int64)
     for at in range(0, len(starts), HASHES):
-        h = np.array([digest(view[a:b], seed) for a, b in zip(starts[at : at + HASHES].tolist(), ends[at : at + HASHES].tolist(), strict=True)], np.uint64)
+        yield np.array([digest(view[a:b], seed) for a, b in zip(starts[at : at + HASHES].tolist(), ends[at : at + HASHES].tolist(), strict=True)], np.uint64)
+
+
+def _majority(pieces: Iterator[np.ndarray]) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for h in pieces:
         total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * total > len(starts)).astype(np.uint8)
+        n += len(h)
+    bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """Bits that over half of the shingles' hashes have. A text without words has fingerprint 0."""
+    return _majority(_shingles(text, shingle, seed))
+
+
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    pieces = list(_shingles(text, shingle, seed))
+    return np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+
+
 @F.arrow_udf(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     """As signed 64-bit numbers."""
@@ -293,9 +319,127 @@ def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+@F.arrow_udf(StructType().add("id", LongType()).add("n", IntegerType()).add("fp", LongType()).add("hashes", BinaryType()))
+def _sets(texts: pa.Array) -> pa.Array:
+    """A text's set: its id (a hash of all its hashes), size, fingerprint of distinct shingles, and the hashes."""
+    out = []
+    for t in texts.to_pylist():
+        h = shingle_set(t)
+        raw = h.astype("<u8").tobytes()
+        fp, own = np.array([_majority(iter([h])), xxhash.xxh64_intdigest(raw)], np.uint64).view(np.int64).tolist()
+        out.append({"id": own, "n": len(h), "fp": fp, "hashes": raw})
+    return pa.array(out, pa.struct([("id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("hashes", pa.binary())]))
+
+
+def prefix_length(n: int, similar: float = SIMILAR) -> int:
+    """So many of the smallest hashes of a set of ``n`` hold one that any set as similar as that has among its own."""
+    return n - math.ceil(similar * n - 1e-9) + 1 if n else 0
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, n, fp, hashes): a row (key, id, n, fp) for each hash of the prefix."""
+    for b in batches:
+        ids, n, fps = (b.column(i).to_numpy() for i in range(3))
+        keys = [np.frombuffer(h, "<i8")[: prefix_length(k)] for h, k in zip(b.column(3).to_pylist(), n.tolist(), strict=True)]
+        if keys:
+            times = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).astype(np.int64), *(np.repeat(x, times) for x in (ids, n, fps)))], ["key", "id", "n", "fp"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, ta, tb, side, id, n, fp, root) sorted by the first three: pairs (a, b) of near fingerprints, of different roots."""
+    rest = None
+    for batch in _and_none(batches):
+        if batch is not None:
+            cols = [batch.column(i).to_numpy() for i in range(8)]
+            rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        key, ta, tb, side, ids, n, fp, root = rest
+        fp = fp.astype(np.int64).view(np.uint64)  # of signed numbers, the bits of absolute values are counted
+        bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])) + 1, [len(key)]])
+        if batch is not None:  # the last block may go on
+            bounds = bounds[:-1]
+            rest = [x[bounds[-1] :] for x in rest]
+        pairs = []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if e - s < 2 or (root[s:e] == root[s]).all():
+                continue
+            alike = ta[s] == tb[s]
+            left = np.arange(s, e) if alike else s + np.flatnonzero(side[s:e] == 0)
+            right = left if alike else s + np.flatnonzero(side[s:e] == 1)
+            for at in range(0, len(left), 256):
+                i, j = left[at : at + 256, None], right[None, :]
+                near = np.bitwise_count(fp[i] ^ fp[j]) <= STAGE_RADIUS if len(right) else np.zeros((len(i), 0), bool)
+                near &= (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
+                if alike:
+                    near &= i < j
+                x, y = np.nonzero(near)
+                if len(x):
+                    pairs.append((ids[i[x, 0]], ids[j[0, y]]))
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+@F.arrow_udf(BooleanType())
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR - 1e-9 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+
+def similar_links(sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """sets: a table of distinct sets (id, n, fp, hashes). Links (a, b) that connect all that are SIMILAR or more."""
+    spark = sets.sparkSession
+    small_batches(spark)
+    prefixes = sets.mapInArrow(_prefixes, "key long, id long, n int, fp long")
+    counts = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n", "fp")).alias("first")).where("members > 1")
+    shared = written(prefixes.join(counts, "key"), "postings")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        small_batches(spark)
+        own = sets.select("id", "hashes")
+        both = pairs.join(own.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a").join(own.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
+        return both.where(_similar("of_a", "of_b")).select("a", "b")
+
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= STAGE_RADIUS) & (F.least("n", "first.n") >= SIMILAR * F.greatest("n", "first.n") - 1e-9)
+    stars = shared.where((F.col("id") != F.col("first.id")) & near).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(checked(stars), "stars")
+    roots = components(links)
+    dealt = shared.select("key", "id", "n", "fp", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    dealt = dealt.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n", "fp", "root")
+    small_batches(spark, 20_000)
+    met = dealt.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(_candidates, "a long, b long").distinct()
+    rest = checked(written(met, "candidates"))
+    return links.unionByName(rest)
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id of every row, as near_duplicates has them, by similar shingle sets; texts without words are alike."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sets("text").alias("s")).select("doc_id", "s.*"), "sets")
+    groups = own.groupBy("id").agg(F.min("doc_id").alias("first"))
+    sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "fp", "hashes"))), "distinct-sets")
+    of = components(similar_links(sets))
+    joined = groups.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    roots = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = joined.join(roots, "root").select("id", "component_id")
+    small_batches(spark)
+    return own.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest doc_id; repeated rows of it count once."""
-    found = near_duplicates(docs)
+    found = similar_components(docs)
     kept = found.where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
     one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
     return one.dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -96,3 +96,30 @@ def test_stage_keeps_one_of_each_group(spark, docs_of):
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 8]
+
+
+def test_stage_links_sets_of_similarity_over_four_fifths(spark, docs_of):
+    rng = random.Random(11)
+    base = [[f"v{rng.randrange(2000)}" for _ in range(n)] for n in (30, 60, 100, 200, 400) for _ in range(12)]
+    texts = [" ".join(t) for t in base]
+    for t in base:
+        for edits in (1, 2, 4, 8):
+            near = list(t)
+            for at in rng.sample(range(len(t)), edits):
+                near[at] = "changed"
+            texts.append(" ".join(near))
+    sets = [simhash.shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    kept = simhash.stage(spark, docs_of(texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in range(len(texts))})
+    assert len({root(i) for i in range(len(texts))}) < len(texts) - 60
