@@ -66,10 +66,12 @@ def _strength(mean: Column, n: Column, rate: Column, weight: Column) -> Column:
     return F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(s, F.lit(STRONGEST))))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """host, a, b, mean and bound from rows (host, bad 0 or 1): each host's beta posterior of its share of bad pages.
 
-    Nulls in either column are left out; an empty table gives an empty result.
+    Nulls in either column are left out; an empty table gives an empty result. ``others`` has further hosts, without
+    outcomes: each is judged by its prior, the posterior of its domain, else of its suffix, else of all pages. They don't
+    count in the estimates of strength. Without any outcome there is no prior and they have no row.
     """
     n, bad = F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")
     hosts = outcomes.where("host IS NOT NULL AND bad IS NOT NULL").groupBy("host").agg(n, bad)
@@ -79,32 +81,43 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     suffixes = up(domains, "suffix")
     whole = suffixes.agg(F.sum("n").alias("wn"), F.sum("bad").alias("wbad")).select(((F.col("wbad") + 0.5) / (F.col("wn") + 1)).alias("prior"))
 
-    def shrunk(level: DataFrame, key: str, priors: DataFrame, on: str | None) -> DataFrame:
-        """The level's rows with a, b and mean; ``priors`` has prior, joined on ``on``."""
+    def shrunk(level: DataFrame, key: str, priors: DataFrame, on: str | None) -> tuple[DataFrame, DataFrame]:
+        """The level's rows with a, b and mean, and the strength s; ``priors`` has prior, joined on ``on``."""
         own = level.join(priors, on) if on else level.crossJoin(F.broadcast(priors))  # one row
         strength = own.agg(_strength(F.col("prior"), F.col("n"), F.col("bad") / F.col("n"), F.col("n")).alias("s"))
         own = own.crossJoin(F.broadcast(strength))  # one row
         a, b = F.col("prior") * F.col("s") + F.col("bad"), (1 - F.col("prior")) * F.col("s") + F.col("n") - F.col("bad")
-        return own.select(key, "n", "bad", a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
-
-    by_suffix = shrunk(suffixes, "suffix", whole, None).select("suffix", F.col("mean").alias("prior"))
-    by_domain = shrunk(domains, "domain", by_suffix, "suffix").select("domain", F.col("mean").alias("prior"))
-    by_host = shrunk(hosts.select("host", "domain", "n", "bad"), "host", by_domain, "domain")
+        known = own.select(key, "n", "bad", a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
+        return known, strength
+
+    by_suffix, _ = shrunk(suffixes, "suffix", whole, None)
+    by_suffix = by_suffix.select("suffix", F.col("mean").alias("prior"))
+    by_domain, _ = shrunk(domains, "domain", by_suffix, "suffix")
+    by_domain = by_domain.select("domain", F.col("mean").alias("prior"))
+    by_host, strength = shrunk(hosts.select("host", "domain", "n", "bad"), "host", by_domain, "domain")
+    if others is not None:
+        new = others.where("host IS NOT NULL").select("host").distinct().join(hosts.select("host"), "host", "left_anti")
+        new = new.withColumn("domain", registered_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+        new = new.join(by_domain.withColumnRenamed("prior", "of_domain"), "domain", "left").join(by_suffix.withColumnRenamed("prior", "of_suffix"), "suffix", "left")
+        new = new.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(strength))  # one row each
+        mean = F.coalesce("of_domain", "of_suffix", "prior")
+        new = new.where(mean.isNotNull()).select("host", F.lit(0.0).alias("n"), F.lit(0.0).alias("bad"), (mean * F.col("s")).alias("a"), ((1 - mean) * F.col("s")).alias("b"), mean.alias("mean"))
+        by_host = by_host.unionByName(new)
     deviation = F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b") + 1)) / (F.col("a") + F.col("b"))
     return by_host.select("host", "n", "bad", "a", "b", "mean", F.greatest(F.lit(0.0), F.col("mean") - DEVIATIONS * deviation).alias("bound"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, limit: float = LIMIT, key: str = "page_id") -> DataFrame:
-    """pages with host, path, rule, verdict and bad_share (the posterior bound; null where the host has no labelled page).
+    """pages with host, path, rule, verdict and bad_share (the posterior bound; null only if there is no labelled page at all).
 
     ``labels`` has bad (0 or 1) and, as pages have, the column ``key``; a key with several labels is bad if one says so, and rows with nulls are
     left out. A null url, or one without ``://``, has empty host and path, and counts as host '' like any other. Repeated
-    pages each have their row and count once each. Pages of hosts without labels are allowed unless a rule blocks them.
+    pages each have their row and count once each. Hosts without labels are judged by their domain, suffix or all pages.
     Empty tables give an empty result; columns of ``pages`` with clashing names are replaced.
     """
     pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     known = labels.where(F.col(key).isNotNull() & F.col("bad").isNotNull()).groupBy(key).agg(F.max("bad").cast("int").alias("bad"))
-    found = reputations(pages.select(key, "host").join(known, key).select("host", "bad")).select(F.col("host").alias("__host"), F.col("bound").alias("bad_share"))
+    found = reputations(pages.select(key, "host").join(known, key).select("host", "bad"), pages.select("host")).select(F.col("host").alias("__host"), F.col("bound").alias("bad_share"))
     out = pages.join(found, F.col("host") == F.col("__host"), "left").withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("bad_share") > limit, "block").otherwise("allow")
     keep = [c for c in pages.columns if c not in ("rule", "verdict", "bad_share", "host", "path")]

@@ -175,6 +175,16 @@ def test_reputation_shrinks(spark):
     assert got["b.x.com"]["bound"] < got["a.x.com"]["bound"]
 
 
+def test_hosts_without_labels_are_judged_by_domain(spark):
+    hosts_of = ["a.bad.com"] * 60 + ["b.bad.com"] * 60 + ["a.good.com"] * 60 + ["new.bad.com", "new.good.com", "new.nolabel.com", "new.nosuffix"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts_of)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(180)], "page_id long, bad int")
+    got = {r["host"]: r for r in hosts.judged(pages, labels).collect()}
+    assert got["new.bad.com"]["verdict"] == "block" and got["new.good.com"]["verdict"] == "allow"
+    assert got["new.good.com"]["bad_share"] < got["new.nolabel.com"]["bad_share"] < got["new.bad.com"]["bad_share"]
+    assert got["new.nosuffix"]["bad_share"] is not None
+
+
 # words
 def test_word_hashes_follow_words():
     a, b = grams.word_hashes("The cat, the CAT; é!"), grams.word_hashes("the  cat the cat É")
