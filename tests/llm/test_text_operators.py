@@ -83,6 +83,11 @@ def test_scores_cover_every_row(spark, docs_of, operator, label):
     assert empty.count() == 0
 
 
+def test_commonest_word_counts_in_mostly_distinct_texts():
+    text = " ".join(["spam"] * 45 + [f"w{i}" for i in range(55)])
+    assert quality.text_features(text)[8] == pytest.approx(0.45)
+
+
 # media columns
 def test_media_round_trip_and_retry(spark, tmp_path):
     payloads = [bytes([i % 256]) * 192 * (i % 5 + 1) for i in range(40)]
