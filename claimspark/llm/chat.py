@@ -88,7 +88,7 @@ def format_conversations(turns: DataFrame, template: Template = chatml, loss_rol
     Rows with a null conv_id form one conversation. An empty table gives an empty result. A conversation is the unit of
     output, so its turns meet in one task; conversations are dealt out by conv_id and read in sorted runs.
     """
-    small_batches(turns.sparkSession, 4096)
+    small_batches(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),

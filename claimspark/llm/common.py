@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches hold few rows, since one text can be many megabytes long.
-BATCH_ROWS = 256
+#: Bytes that one Arrow batch brings into a Python worker, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Rows of labelled data that a classifier is fitted on, at most. A row is chosen by the order of its id's hash.
 LABELLED_ROWS = 6_000
 
@@ -18,20 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch brings into a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch brings into a Python worker, by bytes, since one text can be many megabytes long.
 
+    Spark reads the setting when a job runs, and results are lazy, so it stays in the session; a lower bound is kept.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(setting).lower())
+    if not own or not 0 < int(own[1]) << 10 * " kmgtp".index(own[2] or " ") <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see."""
+
+def _root(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir; one on this machine only where Spark runs on it alone."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints"
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{sc.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``written`` made, once nothing that is still to run reads it."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application wrote in the shared folder, when its results have been used."""
+    _delete(spark, _root(spark))
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import written
+from claimspark.llm.common import dropped, written
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and root (the smallest node that links reach) of every node of links (a, b).
 
-    Nulls link nothing. Each round is written to the shared folder; rounds end when every node points at a root, which
+    Nulls link nothing. Each round is written to the shared folder and replaces the one before it; rounds end when every node points at a root, which
     takes about as many as the logarithm of the number of nodes. Only a count reaches the driver.
     """
     edges = written(_directed(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")), "edges")
@@ -40,7 +40,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         twice = edges.groupBy("a").count().where("count > 1").limit(1).count()
         if not chained and not twice:
             break
-        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
+        large = written(_large_star(edges), "edges")
+        dropped(edges)
+        edges = written(_small_star(large), "edges")
+        dropped(large)
     else:
         raise RuntimeError("components haven't settled")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -142,3 +142,15 @@ def repeated(t: np.ndarray, length: int) -> np.ndarray:
     out = long.copy()
     out[sa[:-1][long[sa[1:]]]] = True
     return out
+
+
+def repeated_later(t: np.ndarray, length: int, rank: np.ndarray) -> np.ndarray:
+    """True at each position whose next ``length`` symbols start at a position of lower rank too."""
+    sa = suffix_array(t)
+    long = common_prefixes(t, sa, cap=length) >= length
+    first = np.flatnonzero(~long[sa])  # where a class of suffixes that share so much begins in the array
+    ranks = rank[sa]
+    least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.append(first, len(sa))))
+    out = np.zeros(len(t), bool)
+    out[sa] = ranks > least
+    return out
