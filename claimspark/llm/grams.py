@@ -11,6 +11,8 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = bytes(c if not (c < 128 and not chr(c).isalnum()) else 32 for c in range(256))
+#: Only ASCII spaces part words, and only A-Z are lower-cased.
+_SPACED = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CODES = np.random.default_rng(1).integers(1, 1 << 62, 256, np.uint64)
 _POWERS: list[np.ndarray] = []
 
@@ -38,7 +40,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash for each word, in order; a null text has none."""
-    raw = (text or "").lower().encode("utf-8", "replace").translate(_LETTERS)
+    return _hashes((text or "").lower().encode("utf-8", "replace").translate(_LETTERS))
+
+
+def spaced_word_hashes(text: str | None) -> np.ndarray:
+    """The same for words that only ASCII spaces part, of the text with A-Z lower-cased."""
+    return _hashes((text or "").encode("utf-8", "surrogatepass").translate(_SPACED))
+
+
+def _hashes(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     n = len(data)
     if not n:

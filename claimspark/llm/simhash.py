@@ -8,16 +8,17 @@ different fingerprints are cut into tiles, and pairs of tiles are compared in di
 spanning forest of the links that it finds, never all pairs of a group of copies.
 
 The pipeline stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets
-share one of the smallest hashes of each, of a number that follows from the size, so postings of these prefixes bring
-all such pairs together. Sizes and the distance of fingerprints, within a wide radius, leave candidates, and links are
-candidates whose sets are similar enough. First each set meets the smallest one of each posting; after that only sets
-of different components meet, so a group of near copies never makes all its pairs.
+share one of the first hashes of each, of a number that follows from the size, by any order that all sets share. The order
+here puts hashes that few documents hold first, so that postings of these prefixes bring all such pairs together and few
+others. Postings are the blocks of the bit-sliced comparison, within a wide radius; sizes leave fewer candidates, and links
+are candidates whose sets are similar enough. First each set meets the first one of each posting; after that only sets of
+different components meet, so a group of near copies never makes all its pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,10 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructType
+from pyspark.sql.types import BooleanType, LongType
 
-from claimspark.llm.common import small_batches, table, written
+from claimspark.llm.common import dropped, small_batches, table, written
 from claimspark.llm.components import components
+from claimspark.llm.grams import gram_hashes, spaced_word_hashes
 
 SHINGLE = 3
 RADIUS = 3
@@ -37,6 +39,9 @@ PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Of the pipeline stage: words of a shingle, the least Jaccard similarity, and the most differing bits of a candidate. At
 #: a similarity of 0.8 about 10 of 64 bits differ, with a deviation of 3.
 STAGE_SHINGLE, SIMILAR, STAGE_RADIUS = 5, 0.8, 22
+#: Of the order of hashes: those that the most documents hold come last, so many at most (8 bytes each go to every task). A
+#: task names what a share of its documents holds. Whatever they are, results are the same; only their cost differs.
+FREQUENT, NAMED, COUNTED = 1 << 16, 1 / 2000, 1 << 21
 #: Fingerprints of a block that one task compares with as many others.
 TILE = 2048
 #: Hashes that are counted at once; only a bound on memory.
@@ -74,10 +79,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return _majority(_shingles(text, shingle, seed))
 
 
-def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE, seed: int = 42) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in order."""
-    pieces = list(_shingles(text, shingle, seed))
-    return np.unique(np.concatenate(pieces)) if pieces else np.empty(0, np.uint64)
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order; a text of fewer words is one shingle, one without words has none."""
+    words = spaced_word_hashes(text)
+    return np.unique(gram_hashes(words, min(shingle, len(words)))) if len(words) else words
 
 
 @F.arrow_udf(LongType())
@@ -99,34 +104,46 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u8")
 
 
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Counters:
+    """Carry-save counters of a bit each, 64 lanes a word, that say which lanes have counted over ``radius``.
+
+    They start so far up that the count after ``radius`` runs over.
+    """
+
+    def __init__(self, n: int, radius: int) -> None:
+        ahead = (1 << radius.bit_length()) - 1 - radius
+        self.bits = [np.full(n, FULL if ahead >> i & 1 else 0, np.uint64) for i in range(radius.bit_length())]
+        self.over = np.zeros(n, np.uint64)
+
+    def add(self, d: np.ndarray) -> None:
+        for i, have in enumerate(self.bits):
+            self.bits[i], d = have ^ d, have & d
+        self.over |= d
+
+    def keep(self, live: np.ndarray) -> None:
+        self.bits, self.over = [x[live] for x in self.bits], self.over[live]
+
+
 def near_masks(probes: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """[probes, words]: bit i of word w says that value 64 w + i differs from the probe in at most ``radius`` (0 to 3) bits."""
+    """[probes, words]: bit i of word w says that value 64 w + i differs from the probe in at most ``radius`` bits."""
     n, w = len(probes), planes.shape[1]
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     rows, cols = np.divmod(np.arange(n * w), w)
-    ones, twos, over = (np.zeros(n * w, np.uint64) for _ in range(3))
+    counters, at = Counters(n * w, radius), np.arange(n * w)
     result = np.zeros(n * w, np.uint64)
-    at = np.arange(n * w)
     for b in range(64):
-        flip = (np.uint64(0) - ((probes[rows] >> np.uint64(b)) & np.uint64(1)))
-        d = planes[b][cols] ^ flip
-        carry = ones & d
-        ones ^= d
-        over |= twos & carry
-        twos ^= carry
+        flip = np.uint64(0) - ((probes[rows] >> np.uint64(b)) & np.uint64(1))
+        counters.add(planes[b][cols] ^ flip)
         if b % 8 == 7:
-            live = over != full
+            live = counters.over != FULL
             if not live.all():  # abandon the groups of 64 that are all over the radius
-                rows, cols, ones, twos, over, at = (x[live] for x in (rows, cols, ones, twos, over, at))
+                rows, cols, at = (x[live] for x in (rows, cols, at))
+                counters.keep(live)
                 if not len(rows):
                     return result.reshape(n, w)
-    if radius < 3:
-        over |= twos & ones
-    if radius < 2:
-        over |= twos
-    if radius < 1:
-        over |= ones
-    result[at] = ~over
+    result[at] = ~counters.over
     return result.reshape(n, w)
 
 
@@ -172,46 +189,57 @@ def _spanning(adjacent: list[int], values: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _small_blocks(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within many blocks of 2 to 64 values at once: a block is one word of bit planes."""
-    sizes = ends - starts
-    block = np.repeat(np.arange(len(starts)), sizes)
-    lane = np.arange(len(block)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    values = fps[np.repeat(starts, sizes) + lane]
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+def _lanes(values: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Of values in blocks of 2 to 64, one after another: the lanes of the block that are within the radius, without its own.
+
+    A block is one word of bit planes, so many blocks are compared at once.
+    """
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    lane = (np.arange(len(block)) - np.repeat(first, sizes)).astype(np.uint64)
     # a value's own lane and the unused lanes are over from the start
-    valid = np.where(sizes == 64, full, (np.uint64(1) << sizes.astype(np.uint64) % np.uint64(64)) - np.uint64(1)).astype(np.uint64)
-    over = ~valid[block] | (np.uint64(1) << lane.astype(np.uint64))
-    ones, twos = np.zeros(len(block), np.uint64), np.zeros(len(block), np.uint64)
-    rows, at = block, np.arange(len(block))
-    probes = values
+    valid = np.where(sizes == 64, FULL, (np.uint64(1) << sizes.astype(np.uint64) % np.uint64(64)) - np.uint64(1)).astype(np.uint64)
+    counters = Counters(len(block), radius)
+    counters.over |= ~valid[block] | (np.uint64(1) << lane)
+    rows, at, probes = block, np.arange(len(block)), values
     result = np.zeros(len(block), np.uint64)
-    shifted = lane.astype(np.uint64)
-    first = np.cumsum(sizes) - sizes
     for b in range(64):
-        plane = np.bitwise_or.reduceat(((values >> np.uint64(b)) & np.uint64(1)) << shifted, first)
-        d = plane[rows] ^ (np.uint64(0) - ((probes >> np.uint64(b)) & np.uint64(1)))
-        carry = ones & d
-        ones ^= d
-        over |= twos & carry
-        twos ^= carry
+        plane = np.bitwise_or.reduceat(((values >> np.uint64(b)) & np.uint64(1)) << lane, first)
+        counters.add(plane[rows] ^ (np.uint64(0) - ((probes >> np.uint64(b)) & np.uint64(1))))
         if b % 8 == 7:
-            live = over != full
+            live = counters.over != FULL
             if not live.all():
-                rows, at, probes, ones, twos, over = (x[live] for x in (rows, at, probes, ones, twos, over))
+                rows, at, probes = (x[live] for x in (rows, at, probes))
+                counters.keep(live)
                 if not len(rows):
-                    return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    if radius < 3:
-        over |= twos & ones
-    if radius < 2:
-        over |= twos
-    if radius < 1:
-        over |= ones
-    result[at] = ~over
-    hit = np.flatnonzero(result)
-    bits = np.unpackbits(result[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    return result
+    result[at] = ~counters.over
+    return result
+
+
+def _set_lanes(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and lane of each bit that is set."""
+    hit = np.flatnonzero(masks)
+    bits = np.unpackbits(masks[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     r, lanes = np.nonzero(bits)
-    a, other = hit[r], first[block[hit[r]]] + lanes
+    return hit[r], lanes
+
+
+def _gathered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places from each start to its end, one block after another."""
+    sizes = ends - starts
+    return np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _small_blocks(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within many blocks of 2 to 64 values at once."""
+    sizes = ends - starts
+    block = np.repeat(np.arange(len(starts)), sizes)
+    values = fps[_gathered(starts, ends)]
+    result = _lanes(values, sizes, radius)
+    first = np.cumsum(sizes) - sizes
+    a, lanes = _set_lanes(result)
+    other = first[block[a]] + lanes
     # many links among few values, as among copies, are thinned to a spanning forest
     degree = np.bincount(block[a], minlength=len(starts))
     dense = degree > 4 * sizes
@@ -300,7 +328,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "fingerprints")
-    small_batches(spark)
     groups = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = written(near_links(groups.select("fp"), radius), "links")
     of = components(links)
@@ -325,34 +352,84 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-@F.arrow_udf(StructType().add("id", LongType()).add("n", IntegerType()).add("fp", LongType()).add("hashes", BinaryType()))
-def _sets(texts: pa.Array) -> pa.Array:
-    """A text's set: its id (a hash of all its hashes), size, fingerprint of distinct shingles, and the hashes."""
-    out = []
-    for t in texts.to_pylist():
-        h = shingle_set(t)
-        raw = h.astype("<u8").tobytes()
-        fp, own = np.array([_majority(iter([h])), xxhash.xxh64_intdigest(raw)], np.uint64).view(np.int64).tolist()
-        out.append({"id": own, "n": len(h), "fp": fp, "hashes": raw})
-    return pa.array(out, pa.struct([("id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("hashes", pa.binary())]))
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts: hashes that a share of a task's documents holds, and how many do."""
+    known, counts, docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+    held: list[np.ndarray] = []
+    size = 0
+
+    def merge() -> None:
+        nonlocal known, counts, held, size
+        every = np.concatenate([known, *held])
+        times = np.concatenate([counts, np.ones(size, np.int64)])
+        order = np.argsort(every, kind="stable")
+        every, times = every[order], times[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+        known, counts = every[first], np.add.reduceat(times, first) if len(first) else times
+        if len(known) > COUNTED:  # those that fewest documents hold are forgotten
+            most = np.argpartition(counts, -COUNTED // 2)[-COUNTED // 2 :]
+            most.sort()
+            known, counts = known[most], counts[most]
+        held, size = [], 0
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            held.append(shingle_set(t))
+            size += len(held[-1])
+            docs += 1
+            if size >= COUNTED:
+                merge()
+    merge()
+    often = counts >= max(2, docs * NAMED)
+    yield pa.RecordBatch.from_arrays([pa.array(known[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
+
+
+def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """Hashes that many documents hold, at most ``most``, rarer ones first; counted over all documents."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("text").mapInArrow(_often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).collect()
+    return np.array([r["key"] for r in rows[::-1]], np.int64).view(np.uint64)
+
+
+SETS = "k1 long, k2 long, id long, n int, fp long, prefix array<long>"
+
+
+def _sets_of(frequent: np.ndarray):
+    """From rows (k1, k2, text): the text's set, by its id (a hash of all its hashes), size, fingerprint and prefix."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, fps, prefixes = [], [], [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_set(t)
+                ids.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes()))
+                sizes.append(len(h))
+                fps.append(_majority(iter([h])))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, order[at], -1), kind="stable")]
+                prefixes.append(h[: prefix_length(len(h))].view(np.int64))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            offsets = pa.array(np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32))
+            values = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), longs(ids), pa.array(sizes, pa.int32()), longs(fps), pa.ListArray.from_arrays(offsets, values)], ["k1", "k2", "id", "n", "fp", "prefix"])
+
+    return of
 
 
 def prefix_length(n: int, similar: float = SIMILAR) -> int:
-    """So many of the smallest hashes of a set of ``n`` hold one that any set as similar as that has among its own."""
+    """So many of the first hashes of a set of ``n`` hold one that any set as similar as that has among its own."""
     return n - math.ceil(similar * n - 1e-9) + 1 if n else 0
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (id, n, fp, hashes): a row (key, id, n, fp) for each hash of the prefix."""
+def _hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, n, fps = (b.column(i).to_numpy() for i in range(3))
-        keys = [np.frombuffer(h, "<i8")[: prefix_length(k)] for h, k in zip(b.column(3).to_pylist(), n.tolist(), strict=True)]
-        if keys:
-            times = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys).astype(np.int64), *(np.repeat(x, times) for x in (ids, n, fps)))], ["key", "id", "n", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (key, ta, tb, side, id, n, fp, root) sorted by the first three: pairs (a, b) of near fingerprints, of different roots."""
     rest = None
     for batch in _and_none(batches):
@@ -362,27 +439,43 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest is None or not len(rest[0]):
             continue
         key, ta, tb, side, ids, n, fp, root = rest
-        fp = fp.astype(np.int64).view(np.uint64)  # of signed numbers, the bits of absolute values are counted
+        fp = fp.astype(np.int64).view(np.uint64)
         bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])) + 1, [len(key)]])
         if batch is not None:  # the last block may go on
             bounds = bounds[:-1]
             rest = [x[bounds[-1] :] for x in rest]
+        if len(bounds) < 2:
+            continue
+        starts, ends = bounds[:-1], bounds[1:]
+        mixed = np.minimum.reduceat(root[: bounds[-1]], starts) < np.maximum.reduceat(root[: bounds[-1]], starts)
+        small = mixed & (ends - starts <= 64) & (ta[starts] == tb[starts])
         pairs = []
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if e - s < 2 or (root[s:e] == root[s]).all():
+
+        def met(i: np.ndarray, j: np.ndarray) -> None:
+            near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
+            if near.any():
+                pairs.append((ids[i[near]], ids[j[near]]))
+
+        for at in range(0, int(small.sum()), 4096):
+            s, e = starts[small][at : at + 4096], ends[small][at : at + 4096]
+            places = _gathered(s, e)
+            a, lanes = _set_lanes(_lanes(fp[places], e - s, STAGE_RADIUS))
+            first = np.repeat(np.cumsum(e - s) - (e - s), e - s)
+            b = first[a] + lanes
+            met(places[a[a < b]], places[b[a < b]])
+        for k in np.flatnonzero(mixed & ~small):
+            own = np.arange(starts[k], ends[k])
+            alike = ta[starts[k]] == tb[starts[k]]
+            left, right = (own, own) if alike else (own[side[own] == 0], own[side[own] == 1])
+            if not len(left) or not len(right):
                 continue
-            alike = ta[s] == tb[s]
-            left = np.arange(s, e) if alike else s + np.flatnonzero(side[s:e] == 0)
-            right = left if alike else s + np.flatnonzero(side[s:e] == 1)
+            planes = bit_planes(fp[right])
             for at in range(0, len(left), 256):
-                i, j = left[at : at + 256, None], right[None, :]
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= STAGE_RADIUS if len(right) else np.zeros((len(i), 0), bool)
-                near &= (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
-                if alike:
-                    near &= i < j
-                x, y = np.nonzero(near)
-                if len(x):
-                    pairs.append((ids[i[x, 0]], ids[j[0, y]]))
+                masks = near_masks(fp[left[at : at + 256]], planes, STAGE_RADIUS)
+                row, lanes = _set_lanes(masks.reshape(-1))
+                i, j = left[at + row // planes.shape[1]], row % planes.shape[1] * 64 + lanes
+                i, j = i[j < len(right)], right[j[j < len(right)]]
+                met(i[i < j] if alike else i, j[i < j] if alike else j)
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -393,53 +486,62 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR - 1e-9 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
-def similar_links(sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """sets: a table of distinct sets (id, n, fp, hashes). Links (a, b) that connect all that are SIMILAR or more."""
-    spark = sets.sparkSession
-    small_batches(spark)
-    prefixes = sets.mapInArrow(_prefixes, "key long, id long, n int, fp long")
-    counts = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n", "fp")).alias("first")).where("members > 1")
+def similar_links(own: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect all sets that are SIMILAR or more. own: SETS, of all rows; texts: k1, k2 and text."""
+    groups = own.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "fp", "prefix")))
+    prefixes = groups.select(F.explode("prefix").alias("key"), "id", "n", "fp")
+    counts = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = written(prefixes.join(counts, "key"), "postings")
+    firsts = own.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("row"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        small_batches(spark)
-        own = sets.select("id", "hashes")
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a").join(own.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
-        return both.where(_similar("of_a", "of_b")).select("a", "b")
-
+        """Those of ``pairs`` whose sets are similar; sets are made anew from the texts of one document each."""
+        pairs = written(pairs, "candidates")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        rows = ids.join(firsts, "id").select("id", "row.k1", "row.k2")
+        sets = written(texts.join(rows, ["k1", "k2"]).select("id", "text").mapInArrow(_hashes_of, "id long, hashes binary").dropDuplicates(["id"]), "sets-of-candidates")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
+        links = written(both.where(_similar("of_a", "of_b")).select("a", "b"), "links")
+        dropped(pairs, sets)
+        return links
+
+    centres = shared.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("first"))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= STAGE_RADIUS) & (F.least("n", "first.n") >= SIMILAR * F.greatest("n", "first.n") - 1e-9)
-    stars = shared.where((F.col("id") != F.col("first.id")) & near).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(checked(stars), "stars")
-    roots = components(links)
-    dealt = shared.select("key", "id", "n", "fp", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
-    dealt = dealt.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n", "fp", "root")
-    small_batches(spark)
-    met = dealt.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(_candidates, "a long, b long").distinct()
-    rest = checked(written(met, "candidates"))
+    stars = shared.join(centres, "key").where((F.col("id") != F.col("first.id")) & near).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = checked(stars)
+    roots = written(components(links), "roots")
+    dealt = written(shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    dropped(shared)
+    # of a posting in which all have one root, nothing is left to find
+    mixed = dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    tiles = dealt.join(mixed, "key", "left_semi").select("key", "id", "n", "fp", "root", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    tiles = tiles.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiles = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiles = tiles.select("key", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n", "fp", "root")
+    met = tiles.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(_candidates, "a long, b long").distinct()
+    rest = checked(met)
+    dropped(dealt, roots)
     return links.unionByName(rest)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of every row, as near_duplicates has them, by similar shingle sets; texts without words are alike."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sets("text").alias("s")).select("doc_id", "s.*"), "sets")
-    groups = own.groupBy("id").agg(F.min("doc_id").alias("first"))
-    sets = written(own.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "fp", "hashes"))), "distinct-sets")
-    of = components(similar_links(sets))
-    joined = groups.join(of.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(roots, "root").select("id", "component_id")
-    small_batches(spark)
-    return own.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+    """k1, k2 and component (a number) of every row; keyed: docs with k1, k2 and text. Texts without words are alike."""
+    small_batches(docs.sparkSession)
+    own = written(docs.select("k1", "k2", "text").mapInArrow(_sets_of(frequent_shingles(docs)), SETS), "sets")
+    of = components(similar_links(own, docs.select("k1", "k2", "text")))
+    return own.select("k1", "k2", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id; repeated rows of it count once."""
-    found = similar_components(docs)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return one.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each component stays: that with the smallest doc_id, of several the one with the least hash of its text.
+
+    Rows are told apart by doc_id and text, so different texts of one id, or of none, are documents of their own; a null
+    doc_id comes last, and repeated rows count once. Null and empty texts are alike. Other columns stay as they are, whatever
+    their names; of repeated rows that differ in other columns, any one stays. An empty table gives an empty result.
+    """
+    k1 = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    keys = {"k1": k1, "k2": F.xxhash64(F.coalesce("text", F.lit("")))}
+    found = similar_components(docs.select(*(v.alias(k) for k, v in keys.items()), "text"))
+    kept = found.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("row")).select(F.col("row.k1").alias("__k1"), F.col("row.k2").alias("__k2"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), *(v.alias(f"__{k}") for k, v in keys.items()))
+    return own.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select("row.*")
