@@ -4,6 +4,9 @@ A template is any function from a list of messages to one string. Each turn's sp
 the template: the prefixes of a conversation are rendered one after another, and what a longer prefix adds to the
 shorter one's output is the new turn's span. A template whose output for a longer prefix doesn't start with the output
 for the shorter one rewrites its history; such conversations are marked and get no spans.
+
+The text inside a turn's span is located in the same way: the turn is rendered with two texts of one character each. Where
+the outputs part, the text begins; what follows that character comes after the text. The loss mask covers those texts.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from claimspark.llm.common import small_batches, table
 
@@ -71,9 +76,27 @@ def turn_spans(messages: list[Message], template: Template) -> tuple[str, list[t
     return before, spans, None
 
 
+def text_span(messages: list[Message], template: Template, output: str, end: int) -> tuple[int, int] | None:
+    """Where in ``output``, whose first ``end`` characters render ``messages``, the last one's text is.
+
+    None if the template does not put the text, as it renders it, between a head and a tail that don't depend on it.
+    """
+    *before, (role, _) = messages
+    one, two = (template([*before, (role, probe)]) for probe in "xy")
+    if len(one) != len(two):
+        return None
+    start = next((i for i, (a, b) in enumerate(zip(one, two, strict=True)) if a != b), None)
+    if start is None or one[start + 1 :] != two[start + 1 :]:
+        return None
+    tail = len(one) - start - 1
+    if start + tail > end or output[:start] != one[:start] or output[end - tail : end] != one[start + 1 :]:
+        return None
+    return start, end - tail
+
+
 def _format_one(messages: list[Message], template: Template, loss_role: str) -> dict:
     output, spans, rewritten = turn_spans(messages, template)
-    loss = [s for s, (role, _) in zip(spans, messages, strict=False) if role == loss_role]
+    loss = [text_span(messages[: n + 1], template, output, spans[n][1]) or spans[n] for n, (role, _) in enumerate(messages[: len(spans)]) if role == loss_role]
     return {"formatted": output, "spans": spans, "loss_spans": loss, "rewrites_at": rewritten}
 
 
@@ -83,6 +106,9 @@ FORMATTED = "conv_id long, n_turns long, formatted string, spans array<struct<st
 def format_conversations(turns: DataFrame, template: Template = chatml, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: the formatted text, the span of each turn, the spans under the loss mask.
 
+    A loss span is the text of a turn of ``loss_role`` as the template renders it; the whole turn, if no text can be told
+    from what surrounds it.
+
     ``turns`` needs conv_id, turn, role and text; other columns are ignored. Turns are ordered by turn, then role, then
     text, so ties and repeated rows have one defined order; a null turn comes first. Null roles and texts are empty.
     Rows with a null conv_id form one conversation. An empty table gives an empty result. A conversation is the unit of
@@ -133,15 +159,19 @@ def format_conversations(turns: DataFrame, template: Template = chatml, loss_rol
     return dealt.select(F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("conv_id").isNotNull().alias("known"), "role", "text").mapInPandas(run, FORMATTED)
 
 
-def _digests(formatted: pd.Series) -> pd.DataFrame:
-    """Read back from outputs of ``chatml`` alone."""
+DIGESTS = StructType().add("turns_sha256", StringType()).add("loss_chars", LongType()).add("loss_sha256", StringType()).add("formatted_chars", LongType())
+
+
+@F.arrow_udf(DIGESTS)
+def digests(formatted: pa.Array, loss_spans: pa.Array) -> pa.Array:
+    """Read back from outputs of ``chatml`` and their loss spans alone."""
     out = []
-    for output in formatted:
-        messages = parse_chatml(output)
-        turns = hashlib.sha256("".join(f"{role}\n{text}\n" for (role, text), _, _ in messages).encode())
-        loss = "".join(unescape(output[a:b]) for (role, _), a, b in messages if role == "assistant")
-        out.append((turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(output)))
-    return pd.DataFrame(out, columns=["turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    for output, spans in zip(formatted.to_pylist(), loss_spans.to_pylist(), strict=True):
+        turns = "".join(f"{role}\n{text}\n" for (role, text), _, _ in parse_chatml(output))
+        loss = "".join(unescape(output[s["start"] : s["end"]]) for s in spans)
+        sha = [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in (turns, loss)]
+        out.append({"turns_sha256": sha[0], "loss_chars": len(loss), "loss_sha256": sha[1], "formatted_chars": len(output)})
+    return pa.array(out, pa.struct([("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +179,7 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = f"{CLOSE}{OPEN}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    digests = F.pandas_udf(_digests, "turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    out = format_conversations(turns).withColumn("d", digests("formatted"))
+    out = format_conversations(turns).withColumn("d", digests("formatted", "loss_spans"))
     return out.select("conv_id", "n_turns", "d.turns_sha256", "d.loss_chars", "d.loss_sha256", "d.formatted_chars")
 
 
