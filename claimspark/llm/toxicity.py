@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.common import LABELLED_ROWS, fold_of, labelled_texts, logistic, small_batches, table
 
-#: Terms of the lexicon, of each kind, at most; words that look misspelled but are ordinary, at most.
-TERMS, ORDINARY = 400, 4_000
+#: A term stands in so many toxic documents at least, a stem in so many toxic occurrences of words that extend it in so many
+#: ways; a stem has from SHORTEST to LONGEST letters, which is what makes it a stem and not a word or a string.
+TERM_DOCS, STEM_DOCS, FORMS, SHORTEST, LONGEST = 5, 8, 4, 4, 32
 #: Known-harmless words that one worker remembers before it starts afresh.
 REMEMBERED = 300_000
 #: Words on either side of a hit that its context is judged by.
@@ -119,14 +120,13 @@ class Automaton:
         return ("fuzzy" if end[1] else "word"), end[1], self.lexicon.words[end[0]]
 
 
-def quotation(text: str, start: int, end: int) -> float:
-    """From 0, abuse, to 1, quotation, by the window around a hit."""
-    left, right = text[max(0, start - 80) : start], text[end : end + 80]
-    lw, rw = WORD.findall(left)[-WINDOW:], WORD.findall(right)[:WINDOW]
-    near_left = left[left.find(lw[0]) :] if lw else left
-    near_right = right[: right.rfind(rw[-1]) + len(rw[-1])] if rw else right
-    quoted = len(QUOTES.findall(near_left)) % 2 == 1 and bool(QUOTES.search(near_right))
-    around = {*lw, *rw}
+def quotation(text: str, words: list[tuple[int, int]], k: int) -> float:
+    """From 0, abuse, to 1, quotation, by WINDOW words on either side of word ``k``; words: start and end of each."""
+    start, end = words[k]
+    low, high = max(0, k - WINDOW), min(len(words) - 1, k + WINDOW)
+    left, right = text[words[low][0] : start], text[end : words[high][1]]
+    quoted = len(QUOTES.findall(left)) % 2 == 1 and bool(QUOTES.search(right))
+    around = {text[a:b] for n, (a, b) in enumerate(words[low : high + 1], low) if n != k}
     score = 0.6 * quoted + 0.3 * bool(around & REPORTING) - 0.3 * bool(around & SECOND_PERSON)
     return min(1.0, max(0.0, score))
 
@@ -159,7 +159,8 @@ class Scorer:
             self.hits = {w: self.hits[w] for w in fresh if w in self.hits}
         if not found:
             return []
-        return [(m.start(), m.end(), h[0], h[2], quotation(text, m.start(), m.end())) for m in WORD.finditer(text) if (h := self.hits.get(m[0]))]
+        spans = [m.span() for m in WORD.finditer(text)]
+        return [(*spans[k], h[0], h[2], quotation(text, spans, k)) for k, w in enumerate(words) if (h := self.hits.get(w))]
 
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
@@ -190,7 +191,10 @@ def _odds(toxic: str, clean: str, n_toxic: int, n_clean: int):
 
 
 def learn(texts: DataFrame, least_odds: float = 3.0) -> Model:
-    """From doc_id, text and y (1: toxic), a bounded table of labelled texts. With no rows, every score is one half."""
+    """From doc_id, text and y (1: toxic), a bounded table of labelled texts. With no rows, every score is one half.
+
+    All terms, stems and ordinary words that the labelled texts give are taken, so the lexicon is bounded by those texts.
+    """
     small_batches(texts.sparkSession)
     texts = texts.select("text", "y").persist()
     counts = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
@@ -198,11 +202,11 @@ def learn(texts: DataFrame, least_odds: float = 3.0) -> Model:
     words = texts.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))).alias("w"))
     words = words.groupBy("w").agg(F.sum((F.col("y") == 1).cast("long")).alias("t"), F.sum((F.col("y") != 1).cast("long")).alias("c")).persist()
     odds = _odds("t", "c", n1, n0).alias("odds")
-    best = words.where((F.length("w") >= 4) & (F.length("w") <= 40) & (F.col("t") >= 5)).select("w", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "w").limit(TERMS).collect()
-    stems = words.where(F.col("t") > 0).select(F.explode(F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n)) for n in (4, 5, 6, 7, 8)])).alias("s")).where("s IS NOT NULL").distinct()
-    known = words.select("t", "c", F.explode(F.array(*[F.when(F.length("w") > n, F.substring("w", 1, n)) for n in (4, 5, 6, 7, 8)])).alias("s")).where("s IS NOT NULL")
-    known = known.join(stems, "s", "left_semi").groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("long")).alias("forms"))
-    stem_rows = known.where("t >= 8 AND forms >= 4").select("s", odds).where(F.col("odds") >= least_odds).orderBy(F.desc("odds"), "s").limit(TERMS).collect()
+    best = words.where(F.col("t") >= TERM_DOCS).select("w", odds).where(F.col("odds") >= least_odds).orderBy("w").collect()
+    lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("w") - 1, F.lit(LONGEST)))
+    begun = words.where(F.length("w") > SHORTEST).select("t", "c", F.explode(F.transform(lengths, lambda n: F.col("w").substr(F.lit(1), n))).alias("s"))
+    known = begun.groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((F.col("t") > 0).cast("long")).alias("forms"))
+    stem_rows = known.where((F.col("t") >= STEM_DOCS) & (F.col("forms") >= FORMS)).select("s", odds).where(F.col("odds") >= least_odds).orderBy("s").collect()
     lexicon = Lexicon({r[0]: r[1] for r in best}, {r[0]: r[1] for r in stem_rows})
     matcher = Lexicon(lexicon.words, lexicon.stems)
 
@@ -212,8 +216,8 @@ def learn(texts: DataFrame, least_odds: float = 3.0) -> Model:
             keep = [w for w in b.column(0).to_pylist() if (m := automaton.match(w)) and m[0] == "fuzzy"]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["w"])
 
-    clean = words.where((F.col("c") > 0) & (odds < 1.0)).select("w", "c")
-    ordinary = clean.select("w").mapInArrow(near, "w string").join(clean, "w").orderBy(F.desc("c"), "w").limit(ORDINARY).collect()
+    clean = words.where((F.col("c") > 0) & (odds < 1.0)).select("w")
+    ordinary = clean.mapInArrow(near, "w string").collect()
     lexicon.ordinary = frozenset(r[0] for r in ordinary)
     rows = features(texts, lexicon, keep=["y"]).select("y", "f").collect()  # as many as the labelled rows, which are bounded
     x = np.array([r["f"] for r in rows]).reshape(-1, N_FEATURES)
@@ -234,7 +238,11 @@ def features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
 
 
 def with_score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
-    """docs and a column of scores from 0 to 1 of whole texts. A null or empty text has no hits and gets the base score."""
+    """docs and a column of scores from 0 to 1 of whole texts. A null or empty text has no hits and gets the base score.
+
+    A score follows from the text alone: equal texts have equal scores, each repeated row has its own, and a null doc_id
+    makes no difference. A column named as the new one is replaced, others stay. An empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
@@ -255,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, cap: int = LABELLED_ROWS) -> Model:
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents, nulls and repeats included, as ``with_score`` has it; a null doc_id isn't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_score(docs, fit(docs, table(spark, sf_dir, "labels")), "score")
     held = F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -262,6 +271,6 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold."""
+    """Documents whose toxicity score is under the threshold, with their columns; rows are judged one by one, by text alone."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return with_score(docs, model, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)

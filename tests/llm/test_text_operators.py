@@ -63,8 +63,10 @@ def test_automaton_like_edit_distance():
 
 def test_quotation_weighs_less():
     abuse, quoted = "you are a blorgh you know", 'they said the word "blorgh" in print'
-    at = lambda t: (t.index("blorgh"), t.index("blorgh") + 6)
-    assert toxicity.quotation(quoted, *at(quoted)) > 0.5 > toxicity.quotation(abuse, *at(abuse))
+    long = 'they said the "' + "z" * 200 + ' blorgh" in print'
+    at = lambda t: (t, [m.span() for m in toxicity.WORD.finditer(t)], toxicity.WORD.findall(t).index("blorgh"))
+    assert toxicity.quotation(*at(quoted)) > 0.5 > toxicity.quotation(*at(abuse))
+    assert toxicity.quotation(*at(long)) > 0.5  # a window is of words, however long they are
 
 
 @pytest.mark.parametrize("operator, label", [(toxicity, "toxic"), (quality, "quality")])
