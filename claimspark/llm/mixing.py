@@ -10,6 +10,7 @@ table of posteriors that sums tokens by domain, nothing is rewritten, and only a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,8 @@ from claimspark.llm.common import LABELLED_ROWS, labelled_texts, small_batches,
 BUCKETS = 512
 #: Domains of the query: languages of documents of quality, and the rest; and what they should make up of the tokens.
 TARGETS = {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15, "junk": 0.05}
-STEPS, CLOSE = 60, 1e-4
+#: Steps at most, how near each domain's share must come, and steps without progress after which the fit is as near as it gets.
+STEPS, CLOSE, PATIENCE = 600, 1e-4, 60
 
 
 def pair_shares(text: str | None) -> tuple[np.ndarray, int]:
@@ -84,7 +86,8 @@ def fit(labelled: DataFrame, domains: list[str]) -> Classifier:
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with n_tokens and p, the posterior over the model's domains. Null texts are empty."""
+    """docs with n_tokens and p, the posterior over the model's domains, in place of columns of those names. Null texts are empty."""
+    docs = docs.drop("n_tokens", "p")
     small_batches(docs.sparkSession)
     kind = pa.struct([("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
 
@@ -94,7 +97,7 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         p = model.posteriors(np.array([x for x, _ in found], np.float64).reshape(-1, BUCKETS))
         return pa.array([{"n_tokens": n, "p": q} for (_, n), q in zip(found, p.tolist(), strict=True)], kind)
 
-    return docs.withColumn("__of", of("text")).select(*docs.columns, F.col("__of.n_tokens").alias("n_tokens"), F.col("__of.p").alias("p"))
+    return docs.select("*", of("text").alias("__of")).select(*docs.columns, F.col("__of.n_tokens").alias("n_tokens"), F.col("__of.p").alias("p"))
 
 
 def rates_after(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +115,10 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
 
 
 def solve(table_of: DataFrame, targets: np.ndarray, most: int = STEPS, close: float = CLOSE) -> list[tuple[float, np.ndarray]]:
-    """Steps whose rates make the expected token shares of the domains equal to ``targets``, as nearly as they can be."""
+    """Steps whose rates make the expected token shares of the domains equal to ``targets``, as nearly as they can be.
+
+    Targets that no rates reach, or not within ``most`` steps, are reported by a warning with what remains.
+    """
     k = len(targets)
 
     def sums(steps: list) -> np.ndarray:
@@ -138,7 +144,8 @@ def solve(table_of: DataFrame, targets: np.ndarray, most: int = STEPS, close: fl
     steps: list[tuple[float, np.ndarray]] = []
     tokens = scale = 0.0
     t, last = 1.0, np.inf
-    for _ in range(most):
+    nearest, idle = np.inf, 0
+    for _ in range(most + 1):
         found = sums(steps)
         if not steps:
             tokens = found[:k].sum()
@@ -146,7 +153,12 @@ def solve(table_of: DataFrame, targets: np.ndarray, most: int = STEPS, close: fl
                 return []
             scale = float(np.linalg.eigvalsh(found[2 * k :].reshape(k, k) / tokens)[-1])
         off = found[:k] / tokens - targets
-        if np.abs(off).max() < close:
+        away = float(np.abs(off).max())
+        nearest, idle = (away, 0) if away < 0.99 * nearest else (nearest, idle + 1)
+        if away < close:
+            break
+        if idle == PATIENCE or len(steps) == most:
+            warnings.warn(f"shares of tokens differ from their targets by {np.round(off, 5).tolist()} after {len(steps)} steps", stacklevel=2)
             break
         loss = float(off @ off)
         if loss > last:  # momentum starts afresh when it overshoots
@@ -161,8 +173,10 @@ def with_rates(docs: DataFrame, model: Classifier, targets: dict[str, float], co
     """docs with n_tokens, domain (the likeliest) and the fitted rate: how often the document should be seen.
 
     Every row has its own rate, repeated rows equal ones; a text without words has no tokens and doesn't weigh in the
-    fit, but has a rate by its posterior. Null texts are empty. An empty table gives an empty result.
+    fit, but has a rate by its posterior. Null texts are empty, and a text of any length is read whole. An empty table gives
+    an empty result; columns of ``docs`` named as one of the new ones are replaced.
     """
+    docs = docs.drop("n_tokens", "domain", column)
     weights = np.array([targets[d] for d in model.domains], np.float64)
     weights /= weights.sum()
     spark = docs.sparkSession
@@ -179,7 +193,7 @@ def with_rates(docs: DataFrame, model: Classifier, targets: dict[str, float], co
         rates = rates_after(p, steps)[0].tolist()
         return pa.array([{"n_tokens": n, "domain": model.domains[i], "rate": r} for (_, n), i, r in zip(found, p.argmax(axis=1), rates, strict=True)], kind)
 
-    return docs.withColumn("__final", final("text")).select(*docs.columns, F.col("__final.n_tokens").alias("n_tokens"), F.col("__final.domain").alias("domain"), F.col("__final.rate").alias(column))
+    return docs.select("*", final("text").alias("__final")).select(*docs.columns, F.col("__final.n_tokens").alias("n_tokens"), F.col("__final.domain").alias("domain"), F.col("__final.rate").alias(column))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -189,12 +203,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's id and source, with n_tokens, domain and rate."""
+    """Every document's id and source, with n_tokens, domain and rate; nulls, ties and repeated rows: as with_rates has them."""
     docs = table(spark, sf_dir, "documents")
     model = fit(labelled(docs, table(spark, sf_dir, "labels")), list(TARGETS))
     return with_rates(docs.select("doc_id", "source", "text"), model, TARGETS).drop("text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with n_tokens, domain and rate."""
+    """Every document with n_tokens, domain and rate; nulls, repeated rows, clashing names and empty tables: as with_rates has them."""
     return with_rates(docs, fit(labelled(docs, table(spark, sf_dir, "labels")), list(TARGETS)), TARGETS)
