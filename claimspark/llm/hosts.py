@@ -3,10 +3,11 @@
 Labelled outcomes of pages are counted by host, and shrunk through beta-binomial priors: a host's prior is its
 registered domain's posterior, a domain's prior its suffix's, a suffix's prior that of all pages. How strong each
 level's prior is, its pseudo-count, is estimated by the method of moments from how much rates differ within the level.
-A page whose host's posterior share of bad pages is, at the lower bound, over a limit is blocked.
+A page whose host's posterior share of bad pages is, at the lower bound, over a limit is blocked. The bound is the mean less
+1.645 deviations of the beta posterior, a normal approximation of its quantile.
 
-Everything is DataFrame expressions. Tables are aggregated by host before they are joined, so hot hosts are summed on
-the map side.
+Everything is DataFrame expressions. Pages are counted by host on the map side, and the counts of each level are written
+once; of a level only its prior's strength, one number, reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import table
+from claimspark.llm.common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -66,45 +67,35 @@ def _strength(mean: Column, n: Column, rate: Column, weight: Column) -> Column:
     return F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(s, F.lit(STRONGEST))))
 
 
-def reputations(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """host, a, b, mean and bound from rows (host, bad 0 or 1): each host's beta posterior of its share of bad pages.
+def reputations(outcomes: DataFrame) -> DataFrame:
+    """host, n, bad, a, b, mean and bound from rows (host, bad 0 or 1): each host's beta posterior of its share of bad pages.
 
-    Nulls in either column are left out; an empty table gives an empty result. ``others`` has further hosts, without
-    outcomes: each is judged by its prior, the posterior of its domain, else of its suffix, else of all pages. They don't
-    count in the estimates of strength. Without any outcome there is no prior and they have no row.
+    A row without ``bad`` is a page without outcome: its host is judged, by its domain, suffix or all pages if it has no
+    other. Rows without host are left out. Hosts and domains without outcomes don't count in the estimates of strength.
+    Without any outcome, or rows, the result is empty.
     """
-    n, bad = F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")
-    hosts = outcomes.where("host IS NOT NULL AND bad IS NOT NULL").groupBy("host").agg(n, bad)
-    hosts = hosts.withColumn("domain", registered_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    up = lambda df, key, *more: df.groupBy(key, *more).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = up(hosts, "domain", "suffix")
-    suffixes = up(domains, "suffix")
-    whole = suffixes.agg(F.sum("n").alias("wn"), F.sum("bad").alias("wbad")).select(((F.col("wbad") + 0.5) / (F.col("wn") + 1)).alias("prior"))
-
-    def shrunk(level: DataFrame, key: str, priors: DataFrame, on: str | None) -> tuple[DataFrame, DataFrame]:
-        """The level's rows with a, b and mean, and the strength s; ``priors`` has prior, joined on ``on``."""
-        own = level.join(priors, on) if on else level.crossJoin(F.broadcast(priors))  # one row
-        strength = own.agg(_strength(F.col("prior"), F.col("n"), F.col("bad") / F.col("n"), F.col("n")).alias("s"))
-        own = own.crossJoin(F.broadcast(strength))  # one row
-        a, b = F.col("prior") * F.col("s") + F.col("bad"), (1 - F.col("prior")) * F.col("s") + F.col("n") - F.col("bad")
-        known = own.select(key, "n", "bad", a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
-        return known, strength
-
-    by_suffix, _ = shrunk(suffixes, "suffix", whole, None)
-    by_suffix = by_suffix.select("suffix", F.col("mean").alias("prior"))
-    by_domain, _ = shrunk(domains, "domain", by_suffix, "suffix")
-    by_domain = by_domain.select("domain", F.col("mean").alias("prior"))
-    by_host, strength = shrunk(hosts.select("host", "domain", "n", "bad"), "host", by_domain, "domain")
-    if others is not None:
-        new = others.where("host IS NOT NULL").select("host").distinct().join(hosts.select("host"), "host", "left_anti")
-        new = new.withColumn("domain", registered_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-        new = new.join(by_domain.withColumnRenamed("prior", "of_domain"), "domain", "left").join(by_suffix.withColumnRenamed("prior", "of_suffix"), "suffix", "left")
-        new = new.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(strength))  # one row each
-        mean = F.coalesce("of_domain", "of_suffix", "prior")
-        new = new.where(mean.isNotNull()).select("host", F.lit(0.0).alias("n"), F.lit(0.0).alias("bad"), (mean * F.col("s")).alias("a"), ((1 - mean) * F.col("s")).alias("b"), mean.alias("mean"))
-        by_host = by_host.unionByName(new)
+    n, bad = F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")
+    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = outcomes.where("host IS NOT NULL").groupBy("host").agg(n, bad)
+    hosts = written(hosts.withColumn("domain", registered_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    domains = written(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(*sums), "suffixes")
+    pages, bads = suffixes.agg(*sums).first()
+    prior = (bads + 0.5) / (pages + 1) if pages else None
+
+    def shrunk(level: DataFrame, key: str) -> DataFrame:
+        """The level's rows, which have prior, with a, b and mean."""
+        known = level.where("n > 0").agg(_strength(F.col("prior"), F.col("n"), F.col("bad") / F.col("n"), F.col("n")).alias("s"))
+        s = F.lit(known.first()["s"])
+        a, b = F.col("prior") * s + F.col("bad"), (1 - F.col("prior")) * s + F.col("n") - F.col("bad")
+        return level.select(key, "n", "bad", a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
+
+    means = lambda level, key: shrunk(level, key).select(key, F.col("mean").alias("prior"))
+    by_suffix = means(suffixes.withColumn("prior", F.lit(prior).cast("double")), "suffix")
+    by_domain = means(domains.join(by_suffix, "suffix"), "domain")
+    by_host = shrunk(hosts.select("host", "domain", "n", "bad").join(by_domain, "domain"), "host")
     deviation = F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b") + 1)) / (F.col("a") + F.col("b"))
-    return by_host.select("host", "n", "bad", "a", "b", "mean", F.greatest(F.lit(0.0), F.col("mean") - DEVIATIONS * deviation).alias("bound"))
+    return by_host.where("mean IS NOT NULL").select("host", "n", "bad", "a", "b", "mean", F.greatest(F.lit(0.0), F.col("mean") - DEVIATIONS * deviation).alias("bound"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, limit: float = LIMIT, key: str = "page_id") -> DataFrame:
@@ -117,7 +108,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, limit: flo
     """
     pages = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     known = labels.where(F.col(key).isNotNull() & F.col("bad").isNotNull()).groupBy(key).agg(F.max("bad").cast("int").alias("bad"))
-    found = reputations(pages.select(key, "host").join(known, key).select("host", "bad"), pages.select("host")).select(F.col("host").alias("__host"), F.col("bound").alias("bad_share"))
+    found = reputations(pages.select(key, "host").join(known, key, "left").select("host", "bad")).select(F.col("host").alias("__host"), F.col("bound").alias("bad_share"))
     out = pages.join(found, F.col("host") == F.col("__host"), "left").withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("bad_share") > limit, "block").otherwise("allow")
     keep = [c for c in pages.columns if c not in ("rule", "verdict", "bad_share", "host", "path")]
@@ -133,6 +124,11 @@ def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, labels, key="document").select("page_id", "host", "path", "rule", "verdict")
 
 
+_STRENGTH_SQL = f"""
+  SELECT greatest({WEAKEST}, least({STRONGEST}, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, {STRONGEST}))) AS s FROM (
+    SELECT (sum(n * (bad / n - prior) ** 2) - sum(n * prior * (1 - prior) / n)) / nullif(sum(n * prior * (1 - prior) * (n - 1) / n), 0) AS rho
+    FROM {{}} WHERE n > 0)"""
+
 OP8_SQL = rf"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
@@ -142,27 +138,22 @@ WITH p AS (
   SELECT doc_id AS document, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
 ), cut AS (
-  SELECT host, bad, string_split(host, '.') AS labels FROM p JOIN known ON try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) = known.document
+  SELECT host, bad, string_split(host, '.') AS labels
+  FROM p LEFT JOIN known ON try_cast(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT) = known.document
 ), named AS (
   SELECT host, bad, array_to_string(labels[-2:], '.') IN {TWO_LABEL_SUFFIXES} AS two, labels FROM cut
 ), hosts AS (
   SELECT host, array_to_string(labels[CASE WHEN two THEN -3 ELSE -2 END:], '.') AS domain,
-    array_to_string(labels[CASE WHEN two THEN -2 ELSE -1 END:], '.') AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
+    array_to_string(labels[CASE WHEN two THEN -2 ELSE -1 END:], '.') AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
   FROM named GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
-), s0 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM suffixes) AS prior FROM suffixes
-), s1 AS (
-  SELECT greatest({WEAKEST}, least({STRONGEST}, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, {STRONGEST}))) AS s FROM (
-    SELECT (sum(n * (bad / n - prior) ** 2) - sum(n * prior * (1 - prior) / n)) / nullif(sum(n * prior * (1 - prior) * (n - 1) / n), 0) AS rho FROM s0)
+), s0 AS (SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM suffixes HAVING sum(n) > 0) AS prior FROM suffixes
+), s1 AS ({_STRENGTH_SQL.format("s0")}
 ), d0 AS (SELECT d.*, (q.prior * s + q.bad) / (s + q.n) AS prior FROM domains d JOIN s0 q USING (suffix), s1
-), d1 AS (
-  SELECT greatest({WEAKEST}, least({STRONGEST}, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, {STRONGEST}))) AS s FROM (
-    SELECT (sum(n * (bad / n - prior) ** 2) - sum(n * prior * (1 - prior) / n)) / nullif(sum(n * prior * (1 - prior) * (n - 1) / n), 0) AS rho FROM d0)
+), d1 AS ({_STRENGTH_SQL.format("d0")}
 ), h0 AS (SELECT h.*, (q.prior * s + q.bad) / (s + q.n) AS prior FROM hosts h JOIN d0 q USING (domain), d1
-), h1 AS (
-  SELECT greatest({WEAKEST}, least({STRONGEST}, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, {STRONGEST}))) AS s FROM (
-    SELECT (sum(n * (bad / n - prior) ** 2) - sum(n * prior * (1 - prior) / n)) / nullif(sum(n * prior * (1 - prior) * (n - 1) / n), 0) AS rho FROM h0)
+), h1 AS ({_STRENGTH_SQL.format("h0")}
 ), known_hosts AS (
   SELECT host, greatest(0, a / (a + b) - {DEVIATIONS} * sqrt(a * b / (a + b + 1)) / (a + b)) AS bound
   FROM (SELECT host, prior * s + bad AS a, (1 - prior) * s + n - bad AS b FROM h0, h1)
