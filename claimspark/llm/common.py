@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch brings into a Python worker, about; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of labelled data that a classifier is fitted on, at most. A row is chosen by the order of its id's hash.
 LABELLED_ROWS = 6_000
 

@@ -40,10 +40,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         twice = edges.groupBy("a").count().where("count > 1").limit(1).count()
         if not chained and not twice:
             break
-        large = written(_large_star(edges), "edges")
-        dropped(edges)
-        edges = written(_small_star(large), "edges")
-        dropped(large)
+        before, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        dropped(before)
     else:
         raise RuntimeError("components haven't settled")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -42,7 +42,7 @@ class Items:
 
 
 def block_of(rows: list[tuple[int, str | None]], gram: int = GRAM) -> Items:
-    """Items of fewer words than an n-gram are kept but can't be found; empty and null ones likewise."""
+    """Items of fewer words than an n-gram have no seeds: only a text of just these words holds them. Empty and null ones are in none."""
     rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     words = [word_hashes(t) for _, t in rows]
     grams = [gram_hashes(w, gram) for w in words]
@@ -96,11 +96,14 @@ def regions(held: np.ndarray, span: int, least: float) -> list[tuple[int, int]]:
 def leaks_in(text: str | None, seeds: Items, threshold: float = THRESHOLD, gram: int = GRAM) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, word after the last) of each item that the text holds a copy of.
 
-    A copy shares two n-grams with its item, or the only one that the item has.
+    A copy shares two n-grams with its item, or the only one that the item has. An item of fewer words is held by a text that
+    has these words and no others.
     """
     words = word_hashes(text)
+    if len(words) < gram:
+        return [(n, 1.0, 0, len(words)) for n, item in zip(seeds.ids, seeds.words, strict=True) if len(words) and np.array_equal(item, words)]
     grams = gram_hashes(words, gram)
-    if not len(grams) or not len(seeds.grams):
+    if not len(seeds.grams):
         return []
     distinct = np.unique(grams)
     first, last = np.searchsorted(seeds.grams, distinct), np.searchsorted(seeds.grams, distinct, side="right")
@@ -145,7 +148,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score and the words of each copy of an item, edited ones included, that a document holds.
 
-    Null and empty texts and items have no n-grams and are in no row, nor are items with a null id; a null doc_id stays
+    Null and empty texts and items are in no row, nor are items with a null id; a null doc_id stays
     null; repeated documents each have their rows, and several items of one id are all looked for. Other columns are
     ignored. Empty tables give an empty result.
     """
@@ -168,6 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items, as ``contaminated`` has them."""
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 

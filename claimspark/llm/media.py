@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from claimspark.llm.common import shared_dir, small_batches, table
@@ -33,7 +33,8 @@ MAGIC = b"MEMBER01"
 #: magic, name bytes, member bytes, crc32 of the member
 HEAD = struct.Struct("<8sIQI")
 TAIL = struct.Struct("<QQ8s")
-RANGE_BYTES = 16 << 20
+#: Bytes of a range, at least; so many ranges are planned at most, and of more bytes ranges are larger.
+RANGE_BYTES, RANGES = 16 << 20, 50_000
 BATCH_BYTES = 8 << 20
 TRIES = 3
 SCHEMA = "name string, media binary"
@@ -84,24 +85,24 @@ class Committed(WriterCommitMessage):
         self.file, self.size, self.members = file, size, members
 
 
-class ArchiveWriter(DataSourceWriter):
+class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def write(self, rows: Iterator) -> Committed:
-        """Rows of (name, media), to a file that no other attempt writes."""
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
+        """Batches of (name, media), to a file that no other attempt writes."""
         fs, root = _fs(self.path)
         file, stream, at, offsets = f"part-{uuid.uuid4().hex}.arc", None, 0, []
-        for name, media in rows:
+        for name, media in ((n.as_py(), m.as_buffer()) for b in iterator for n, m in zip(b.column(0), b.column(1), strict=True)):
             if stream is None:
                 fs.create_dir(root, recursive=True)
                 stream = fs.open_output_stream(f"{root}/{file}")
             label = b"" if name is None else name.encode()
-            head = HEAD.pack(MAGIC, 0xFFFFFFFF if name is None else len(label), len(media), zlib.crc32(media))
+            head = HEAD.pack(MAGIC, 0xFFFFFFFF if name is None else len(label), media.size, zlib.crc32(media))
             offsets.append(at)
-            for x in (head, label, bytes(media)):
+            for x in (head, label, media):
                 stream.write(x)
-                at += len(x)
+            at += len(head) + len(label) + media.size
         if stream is None:
             return Committed(None, 0, 0)
         index = zlib.compress(np.array(offsets, np.int64).tobytes())
@@ -132,12 +133,13 @@ class ArchiveReader(DataSourceReader):
         import pyarrow.fs as pafs
 
         fs, root = _fs(self.path)
-        ranges = []
+        archives = []
         for info in sorted(fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)), key=lambda i: i.path):
             if info.base_name.startswith("manifest-"):
                 with fs.open_input_stream(info.path) as f:
-                    for file, size, _ in json.loads(f.read()):
-                        ranges += [ArchiveRange(file, a, min(size, a + self.range_bytes)) for a in range(0, size, self.range_bytes)]
+                    archives += [(file, size) for file, size, _ in json.loads(f.read())]
+        step = max(self.range_bytes, sum(size for _, size in archives) // RANGES)
+        ranges = [ArchiveRange(file, a, min(size, a + step)) for file, size in archives for a in range(0, size, step)]
         return ranges or [ArchiveRange("", 0, 0)]
 
     def _open(self, file: str):

@@ -10,9 +10,11 @@ spanning forest of the links that it finds, never all pairs of a group of copies
 The pipeline stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Two such sets
 share one of the first hashes of each, of a number that follows from the size, by any order that all sets share. The order
 here puts hashes that few documents hold first, so that postings of these prefixes bring all such pairs together and few
-others. Postings are the blocks of the bit-sliced comparison, within a wide radius; sizes leave fewer candidates, and links
-are candidates whose sets are similar enough. First each set meets the first one of each posting; after that only sets of
-different components meet, so a group of near copies never makes all its pairs.
+others. Postings are the blocks of the bit-sliced comparison, within a wide radius. Sizes and places leave fewer candidates:
+where the first hash that two sets share has places i and j, they share no more than what follows these places. Links are
+candidates whose sets are similar enough. First each set meets one set of each posting, that which has the fewest rarer
+hashes, as the original of edited copies does; after that only sets of different components meet, so a group of near
+copies never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
@@ -424,21 +426,26 @@ def prefix_length(n: int, similar: float = SIMILAR) -> int:
     return n - math.ceil(similar * n - 1e-9) + 1 if n else 0
 
 
+def least_shared(n: Column, m: Column) -> Column:
+    """How many hashes sets of ``n`` and ``m`` share at least, if they are SIMILAR."""
+    return F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (n + m) - 1e-9)
+
+
 def _hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, ta, tb, side, id, n, fp, root) sorted by the first three: pairs (a, b) of near fingerprints, of different roots."""
+    """From rows (key, ta, tb, side, id, n, fp, root, pos) sorted by the first three: pairs (a, b) of near fingerprints, of different roots."""
     rest = None
     for batch in _and_none(batches):
         if batch is not None:
-            cols = [batch.column(i).to_numpy() for i in range(8)]
+            cols = [batch.column(i).to_numpy() for i in range(9)]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if rest is None or not len(rest[0]):
             continue
-        key, ta, tb, side, ids, n, fp, root = rest
+        key, ta, tb, side, ids, n, fp, root, pos = rest
         fp = fp.astype(np.int64).view(np.uint64)
         bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])) + 1, [len(key)]])
         if batch is not None:  # the last block may go on
@@ -452,7 +459,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = []
 
         def met(i: np.ndarray, j: np.ndarray) -> None:
-            near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9)
+            near = (root[i] != root[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= np.ceil(SIMILAR / (1 + SIMILAR) * (n[i] + n[j]) - 1e-9))
             if near.any():
                 pairs.append((ids[i[near]], ids[j[near]]))
 
@@ -486,10 +493,10 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR - 1e-9 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
-def similar_links(own: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect all sets that are SIMILAR or more. own: SETS, of all rows; texts: k1, k2 and text."""
+def similar_roots(own: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
+    """node and root of the sets (ids) that links of similarity SIMILAR or more connect. own: SETS, of all rows; texts: k1, k2, text."""
     groups = own.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "fp", "prefix")))
-    prefixes = groups.select(F.explode("prefix").alias("key"), "id", "n", "fp")
+    prefixes = groups.select(F.posexplode("prefix").alias("pos", "key"), "id", "n", "fp")
     counts = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = written(prefixes.join(counts, "key"), "postings")
     firsts = own.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("row"))
@@ -505,30 +512,37 @@ def similar_links(own: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFra
         dropped(pairs, sets)
         return links
 
-    centres = shared.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("first"))
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= STAGE_RADIUS) & (F.least("n", "first.n") >= SIMILAR * F.greatest("n", "first.n") - 1e-9)
-    stars = shared.join(centres, "key").where((F.col("id") != F.col("first.id")) & near).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+    centres = shared.groupBy("key").agg(F.min(F.struct("pos", "id", "n", "fp")).alias("first"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= STAGE_RADIUS) & (F.least(F.col("n") - F.col("pos"), F.col("first.n") - F.col("first.pos")) >= least_shared(F.col("n"), F.col("first.n")))
+    stars = shared.join(centres, "key").where((F.col("id") != F.col("first.id")) & near)
+    stars = stars.select(F.least("first.id", "id").alias("a"), F.greatest("first.id", "id").alias("b")).distinct()
     links = checked(stars)
     roots = written(components(links), "roots")
     dealt = written(shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     dropped(shared)
     # of a posting in which all have one root, nothing is left to find
     mixed = dealt.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    tiles = dealt.join(mixed, "key", "left_semi").select("key", "id", "n", "fp", "root", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
+    tiles = dealt.join(mixed, "key", "left_semi").select("key", "id", "n", "fp", "root", "pos", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
     tiles = tiles.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiles = tiles.select("key", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n", "fp", "root")
+    tiles = tiles.select("key", F.least("mine", "other").alias("ta"), F.greatest("mine", "other").alias("tb"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "n", "fp", "root", "pos")
     met = tiles.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb").mapInArrow(_candidates, "a long, b long").distinct()
     rest = checked(met)
-    dropped(dealt, roots)
-    return links.unionByName(rest)
+    dropped(dealt)
+    # links between components are few; they join the components' roots
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}"))
+    between = rest.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = written(components(between).select(F.col("node").alias("root"), F.col("root").alias("whole")), "joined-roots")
+    known = roots.join(joined, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+    new = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("whole").alias("root"))
+    return known.unionByName(new)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """k1, k2 and component (a number) of every row; keyed: docs with k1, k2 and text. Texts without words are alike."""
     small_batches(docs.sparkSession)
     own = written(docs.select("k1", "k2", "text").mapInArrow(_sets_of(frequent_shingles(docs)), SETS), "sets")
-    of = components(similar_links(own, docs.select("k1", "k2", "text")))
+    of = similar_roots(own, docs.select("k1", "k2", "text"))
     return own.select("k1", "k2", "id").join(of.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component"))
 
 

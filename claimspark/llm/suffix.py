@@ -41,8 +41,8 @@ LENGTH, GRID = 400, 32
 STAGE_LENGTH = 240
 #: Symbols of a shard that one suffix array is made of, about; a core's cells stay together.
 SHARD = 1 << 20
-#: Cells of a core that stay together at most.
-HOT = 256
+#: Cells of a core that stay together at most: as many as make a shard.
+HOT = SHARD // (2 * GRID)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -304,9 +304,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = STAGE
     Other columns stay as they are; n_chars of a text that is cut is its new length. A null or empty text stays. Repeated
     rows, null ids, ties and empty tables: as ``with_spans`` has them.
     """
-    found = with_spans(docs, length, keep_first=True)
-    small_batches(spark)
-    cut = found.withColumn("__kept", kept_text("text", "__spans"))
-    cut = cut.where(F.col("__spans").isNull() | (F.trim("__kept") != ""))
-    columns = [F.col("__kept").alias("text") if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__kept").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return cut.select(*columns)
+    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))  # whatever they are named
+    found = with_spans(rows, length, keep_first=True)
+    cut = found.withColumn("kept", kept_text("text", "__spans")).where(F.col("__spans").isNull() | (F.trim("kept") != ""))
+    changed = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__spans").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -273,4 +273,6 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold, with their columns; rows are judged one by one, by text alone."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return with_score(docs, model, "__toxicity").where(F.col("__toxicity") < THRESHOLD).select(*docs.columns)
+    rows = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))  # whatever they are named
+    kept = with_score(rows, model, "score").where(F.col("score") < THRESHOLD)
+    return kept.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

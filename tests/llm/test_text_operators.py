@@ -277,14 +277,14 @@ def test_leaks(spark, docs_of, write_tables):
     edited = items[1].split()
     edited[3:5] = ["other", "new", "words"]
     edited[15] = "swapped"
-    texts = [prose(rng, 100) + " " + items[0].upper() + " " + prose(rng, 10), prose(rng, 50) + " " + " ".join(edited), prose(rng, 200), " ".join(items[2].split()[:6]), None, "", items[0]]
+    texts = [prose(rng, 100) + " " + items[0].upper() + " " + prose(rng, 10), prose(rng, 50) + " " + " ".join(edited), prose(rng, 200), " ".join(items[2].split()[:6]), None, "", items[0], "Two words!", "two words more"]
     docs = docs_of(texts)
     benchmark = spark.createDataFrame([*enumerate(items), (7, None), (8, ""), (9, "two words"), (None, items[3])], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
-    assert got == {(0, 0), (1, 1), (6, 0)}
+    assert got == {(0, 0), (1, 1), (6, 0), (7, 9)}
     sf = write_tables(benchmark=benchmark)
     kept = decontaminate.stage(spark, docs, sf)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 8]
     assert decontaminate.contaminated(docs_of([]), benchmark).count() == 0
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
