@@ -85,3 +85,15 @@ def dimensions(a: str, b: str, num: Column, per: Column) -> Column:
         _either_known(low(of(a, "scope")), low(of(b, "scope")), "same").alias("scope"),
         qualifier_difference(of(a, "qualifiers"), of(b, "qualifiers")).alias("qualifiers"),
     )
+
+
+def raw_dimensions(a: str, b: str) -> Column:
+    """struct of the seven differences as the facts have them written: a null, or qualifiers on one side only, is unknown."""
+    plain = lambda p, name: F.lower(stripped(F.col(f"{p}{name}").cast("string")))
+    value = lambda p: F.lower(stripped(F.coalesce(F.col(f"{p}value_num").cast("string"), F.col(f"{p}value_raw"))))
+    of = lambda x, y: F.when(x.isNull() | y.isNull(), "unknown").otherwise(_word(x == y))
+    quals = [F.coalesce(F.col(f"{p}qualifiers"), F.array().cast("array<string>")) for p in (a, b)]
+    empty = [F.size(q) == 0 for q in quals]
+    qualifiers = F.when(empty[0] & empty[1], "same").when(empty[0] | empty[1], "unknown").otherwise(_word(_set(quals[0]) == _set(quals[1])))
+    named = [of(plain(a, n), plain(b, n)).alias(n) for n in ("subject", "predicate")]
+    return F.struct(*named, of(value(a), value(b)).alias("value"), *[of(plain(a, n), plain(b, n)).alias(n) for n in ("unit", "period", "scope")], qualifiers.alias("qualifiers"))

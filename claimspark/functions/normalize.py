@@ -123,9 +123,14 @@ def with_period(df: DataFrame, period: str = "period", as_of: str = "as_of", out
     return step.withColumn("__value", value).select(*df.columns, F.col("__value").alias(out))
 
 
+#: What is read as a number; a cast alone would also take '1d' and 'nan'.
+DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+
+
 def with_value(df: DataFrame, value_num: str = "value_num", value_raw: str = "value_raw", unit: str = "unit", out: str = "normal") -> DataFrame:
     """df with struct(value, unit): numbers in base units; value is null where the value is a text."""
-    parsed = F.coalesce(F.col(value_num), stripped(F.regexp_replace(value_raw, ",", "")).try_cast("double"))
+    written = stripped(F.regexp_replace(value_raw, ",", ""))
+    parsed = F.coalesce(F.col(value_num), F.when(written.rlike(DECIMAL), written.try_cast("double")))
     step = df.withColumn("__v", parsed).withColumn("__u", F.lower(stripped(F.col(unit)))).withColumn("__words", F.split("__u", r"\s+"))
     v, u, words = F.col("__v"), F.col("__u"), F.col("__words")
     percent = u.rlike("^(%|percent|per cent|pct)")

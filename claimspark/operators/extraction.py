@@ -11,44 +11,52 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.functions.text import filled
+
 # Patterns of claims.
 _FY = r"FY\d{2,4}"
-_GDP_TAIL = r"\s+(\d+\.?\d*)\s*(?:per\s*cent|percent|%)\s*(?:in\s+)?(FY\d{2,4}(?:[-/]\d{2,4})?|\b20\d{2}-\d{2}\b)?)"
-_GDP_HEAD = r"((?:[A-Z][\w\s\']+?)?\s*real\s+GDP\s+"
+_GDP = r"((?:[A-Z][\w\s\']+?)?\s*real\s+GDP\s+(?:{verb})\s+(\d+\.?\d*)\s*(?:per\s*cent|percent|%)\s*(?:in\s+)?(FY\d{{2,4}}(?:[-/]\d{{2,4}})?|\b20\d{{2}}-\d{{2}}\b)?)"
 _MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)(?:\s+20\d{2})?"
 _MACRO_PERIOD = rf"(?:{_MONTH}|FY\d{{2,4}}(?:[-/]\d{{2,4}})?|\b\d{{4}}-\d{{2}}\b)"
 _MACRO = r"(?:In\s+(FY\d{{2,4}}(?:[-/]\d{{2,4}})?)\s*,?\s+)?\b{phrase}\s+\w+(?:\s+\w+){{0,4}}\s+(?:at|to)\s+(\d+(?:\.\d+)?)\s*(?:per\s*cent|percent|%)(?:\s+in\s+({period}))?"
 _AMOUNT = r"([\d,]+\.?\d*)"
 _MONEY = r"(?:INR|₹)\s*"
 _DATE = r"([A-Za-z]+\s+\d{1,2},\s*\d{4})"
-_BASIS = r"\s+on\s+(standalone|consolidated)\s+basis"
-_LEADING = r"(revenue\s+from\s+operations" + _BASIS + rf"\s+for\s+({_FY})\s+stood\s+at\s+"
 _NOT_NAMES = frozenset("the to for and or of in on by our non none".split())
 # Words of file names that name no entity.
 _BOILERPLATE = r"\b(excerpt|annual|report|prospectus|presentation|document|pdf|economy|economic|survey|article|iv|consultation)\b"
 _UNITS = {"million": "INR million", "mn": "INR million", "crore": "₹ crore", "cr": "₹ crore", "lakh": "lakh", "lac": "lakh", "billion": "billion"}
 
 
-def entity_of(filename: str) -> str:
+def entity_name(filename: Column) -> Column:
     """The entity that a file name suggests: its first three words of three letters or more, without boilerplate and years."""
-    name = re.sub(r"[-_]+", " ", re.sub(r"^\d+[-_]", "", re.sub(r"\.[^.]*$", "", filename or ""))).strip()
-    name = re.sub(r"\b(fy\d{2,4}|\d{4}[-/]\d{2,4}|\d{4})\b", "", re.sub(_BOILERPLATE, "", name, flags=re.I), flags=re.I)
-    return " ".join([w for w in name.split() if len(w) > 2][:3]) or "Unknown Entity"
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(filename, F.lit("")), r"\.[^.]*$", ""), r"^\d+[-_]", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[-_]+", " "), f"(?i){_BOILERPLATE}", "")
+    words = F.split(F.regexp_replace(plain, r"(?i)\b(fy\d{2,4}|\d{4}[-/]\d{2,4}|\d{4})\b", ""), r"\s+")
+    return F.coalesce(filled(F.array_join(F.slice(F.filter(words, lambda w: F.length(w) > 2), 1, 3), " ")), F.lit("Unknown Entity"))
 
 
-#: Qualifiers and the phrases near a match that give them; of the first two only one.
-_NEARBY = (("second advance", "Second Advance Estimates"), ("provisional", "provisional"), ("revised", "revised"), ("preliminary", "preliminary"), ("final", "final"), ("estimated", "estimated"), ("projected", "forecast"))
+# Phrases around a match and the qualifiers that they give, in order; of those of one group only the first.
+NEARBY = (
+    ("first advance", "First Advance Estimate", "advance"), ("second advance", "Second Advance Estimates", "advance"), ("provisional", "provisional", None), ("revised", "revised", None),
+    ("preliminary", "preliminary", None), ("final", "final", None), ("estimated", "estimated", None), ("projected", "forecast", None),
+)
+#: Characters on either side of a match that qualifiers are looked for in.
+AROUND = 300
 
 
-def qualifiers_near(text: str, start: int, end: int, window: int = 300) -> list[str]:
-    near = text.lower()[max(0, start - window) : end + window]
-    out = [name for phrase, name in _NEARBY if phrase in near]
-    if "first advance" in near:
-        out = ["First Advance Estimate", *(x for x in out if x != "Second Advance Estimates")]
-    return out
+def qualifiers_in(near: Column) -> Column:
+    """Qualifiers that the lower-cased text around a match gives; a null text gives none."""
+    picked, groups = [], {}
+    for phrase, name, group in NEARBY:
+        test = near.contains(phrase)
+        picked.append(F.when(test & ~groups.get(group, F.lit(False)), name))
+        if group:
+            groups[group] = groups.get(group, F.lit(False)) | test
+    return F.when(near.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*picked)))
 
 
 def number(text: str) -> float:
@@ -59,12 +67,9 @@ def number(text: str) -> float:
 class Page:
     text: str
     filename: str
+    entity: str
     claims: list[dict] = field(default_factory=list)
 
-    @property
-    def entity(self) -> str:
-        return entity_of(self.filename)
-
     def scope_before(self, at: int) -> str | None:
         """The basis that is named last before a place."""
         named = re.findall(r"\bon\s+(standalone|consolidated)\s+basis\b", self.text[:at], re.I)
@@ -85,7 +90,7 @@ def _upper(text: str | None) -> str | None:
 
 
 def _gdp(m: re.Match, page: Page) -> list[dict]:
-    return [{"subject": "India real GDP growth", "predicate": "growth rate", "value": float(m[2]), "unit": "per cent", "period": m[3], "qualifiers": qualifiers_near(page.text, *m.span()), "evidence": m[1]}]
+    return [{"subject": "India real GDP growth", "predicate": "growth rate", "value": float(m[2]), "unit": "per cent", "period": m[3], "near": page.text[max(0, m.start() - AROUND) : m.end() + AROUND].lower(), "evidence": m[1]}]
 
 
 def _macro(subject: str, predicate: str, qualifier: str | None) -> Callable:
@@ -150,16 +155,16 @@ def _rule(name: str, pattern: str, claims: Callable, confidence: float, flags: i
 
 #: In the order in which claims are emitted.
 RULES = (
-    _rule("gdp_grew", _GDP_HEAD + r"(?:grew\s+by|is\s+estimated\s+to\s+grow\s+by)" + _GDP_TAIL, _gdp, 0.95),
-    _rule("gdp_growth", _GDP_HEAD + r"growth\s+(?:moderated\s+to|stood\s+at|projected\s+at)" + _GDP_TAIL, _gdp, 0.95),
+    _rule("gdp_grew", _GDP.format(verb=r"grew\s+by|is\s+estimated\s+to\s+grow\s+by"), _gdp, 0.95),
+    _rule("gdp_growth", _GDP.format(verb=r"growth\s+(?:moderated\s+to|stood\s+at|projected\s+at)"), _gdp, 0.95),
     *(
         _rule("macro_" + phrase.replace(" ", "_"), _MACRO.format(phrase=phrase, period=_MACRO_PERIOD), _macro(f"India {phrase}", predicate, qualifier), 0.9)
         for phrase, predicate, qualifier in (("private consumption growth", "growth rate", None), ("headline inflation", "inflation rate", None), ("core inflation", "inflation rate", "core"), ("unemployment", "unemployment rate", None))
     ),
-    _rule("revenue_exact", _LEADING + rf"INR\s+{_AMOUNT}\s+million)", _revenue("Delhivery revenue from operations", 4, 3, 2, "INR million"), 0.95),
+    _rule("revenue_exact", rf"(revenue\s+from\s+operations\s+on\s+(standalone|consolidated)\s+basis\s+for\s+({_FY})\s+stood\s+at\s+INR\s+{_AMOUNT}\s+million)", _revenue("Delhivery revenue from operations", 4, 3, 2, "INR million"), 0.95),
     _rule("revenue_broad", rf"((?:[\w\s]+?)\s+revenue\s+(?:from\s+[\w\s]+?\s+)?(?:stood\s+at|was|is)\s+{_MONEY}{_AMOUNT}\s*(million|mn|crore|cr|lakh|lac|billion)\b)", _revenue_broad, 0.85),
     _rule("revenue_services", rf"(revenue\s+from\s+services\s+stood\s+at\s+(?:approximately\s+)?₹?{_AMOUNT}\s*(?:cr|crore)\s+for\s+({_FY}))", _revenue("{} revenue from services", 2, 3, "consolidated", "₹ crore"), 0.92),
-    _rule("revenue_compared", _LEADING + rf"{_MONEY}[\d,]+\.?\d*\s+million\s+as\s+against\s+{_MONEY}{_AMOUNT}\s+million\s+for\s+({_FY}))", _revenue("{} revenue", 4, 5, 2, "INR million"), 0.95),
+    _rule("revenue_compared", rf"(revenue\s+from\s+operations\s+on\s+(standalone|consolidated)\s+basis\s+for\s+({_FY})\s+stood\s+at\s+{_MONEY}[\d,]+\.?\d*\s+million\s+as\s+against\s+{_MONEY}{_AMOUNT}\s+million\s+for\s+({_FY}))", _revenue("{} revenue", 4, 5, 2, "INR million"), 0.95),
     _rule("loss_compared", rf"((?:the\s+)?loss\s+for\s+({_FY})\s+stood\s+at\s+{_MONEY}{_AMOUNT}\s+million(?:\s+as\s+against\s+{_MONEY}{_AMOUNT}\s+million\s+for\s+({_FY}))?)", _loss_compared, 0.95),
     _rule("loss_of_year", rf"(loss\s+for\s+the\s+year\s+was\s+INR\s+{_AMOUNT}\s+million)", _net_loss(2, None), 0.92),
     _rule("net_loss", rf"(net\s+loss\s+for\s+({_FY})\s+was\s+₹?{_AMOUNT}\s*(?:cr|crore))", _net_loss(3, 2), 0.92),
@@ -170,9 +175,9 @@ RULES = (
 )
 
 
-def claims_of(text: str | None, filename: str | None, rules: tuple[Rule, ...] = RULES) -> list[dict]:
-    """Claims of one page in the order of the rules, each with rule, number (its place in that order) and confidence."""
-    page = Page(" ".join(x.strip() for x in (text or "").splitlines() if x.strip()), filename or "")
+def claims_of(text: str | None, filename: str | None, entity: str = "Unknown Entity", rules: tuple[Rule, ...] = RULES) -> list[dict]:
+    """Claims of one page in the order of the rules, each with rule and confidence; near: the text around, where qualifiers depend on it."""
+    page = Page(" ".join(x.strip() for x in (text or "").splitlines() if x.strip()), filename or "", entity)
     for rule in rules:
         for m in rule.pattern.finditer(page.text):
             for claim in rule.claims(m, page):
@@ -183,7 +188,7 @@ def claims_of(text: str | None, filename: str | None, rules: tuple[Rule, ...] =
 
 CLAIMS = (
     "document_id string, document_name string, page_number int, number int, rule string, subject string, predicate string, value_raw string, value_num double, "
-    "unit string, period string, as_of string, scope string, qualifiers array<string>, confidence double, evidence_text string"
+    "unit string, period string, as_of string, scope string, qualifiers array<string>, confidence double, evidence_text string, near string"
 )
 
 
@@ -196,16 +201,21 @@ def extract(pages: DataFrame, candidate_only: bool = True, rules: tuple[Rule, ..
         pages = pages.where("is_candidate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.float64(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.float64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.float64(), pa.string(), pa.string()]
         names = [c.split()[0] for c in CLAIMS.split(", ")]
         for b in batches:
             rows = []
-            for doc, name, page, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for n, c in enumerate(claims_of(text, name, rules)):
+            for doc, name, page, text, entity in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for n, c in enumerate(claims_of(text, name, entity, rules)):
                     textual = isinstance(c["value"], str)
-                    rows.append((doc, name, page, n, c["rule"], c["subject"], c["predicate"], c["value"] if textual else None, None if textual else c["value"], c.get("unit"), c.get("period"), c.get("as_of"), c.get("scope"), c.get("qualifiers") or [], c["confidence"], c["evidence"]))
+                    rows.append((doc, name, page, n, c["rule"], c["subject"], c["predicate"], c["value"] if textual else None, None if textual else c["value"], c.get("unit"), c.get("period"), c.get("as_of"), c.get("scope"), c.get("qualifiers") or [], c["confidence"], c["evidence"], c.get("near")))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    found = pages.select(F.col("document_id").cast("string"), F.col("filename").cast("string"), F.col("page_number").cast("int"), "raw_text").mapInArrow(run, CLAIMS)
+    found = pages.select(F.col("document_id").cast("string"), F.col("filename").cast("string"), F.col("page_number").cast("int"), "raw_text", entity_name(F.col("filename")).alias("entity")).mapInArrow(run, CLAIMS)
+    return identified(found.withColumn("qualifiers", F.concat(qualifiers_in(F.col("near")), "qualifiers")).drop("near"))
+
+
+def identified(found: DataFrame) -> DataFrame:
+    """Claims with seq, by document, page and emission, and an id that follows from their content."""
     key = F.concat_ws("\u0001", "document_id", "page_number", "number", "rule", "evidence_text")
     return found.withColumn("seq", F.col("page_number").cast("long") * 100_000 + F.col("number")).withColumn("id", F.substring(F.sha2(key, 256), 1, 12))

@@ -1,4 +1,4 @@
-"""Table layout from word boxes: lines, cells, anchors, runs of rows, label cards and checks.
+"""Table layout from word boxes: lines, cells, anchors, runs of rows, and checks; whole tables are read in ``grids``.
 
 Words are rows (page, x0, y0, x1, y1, text, word_no). A page's words are the unit of work; windows are over one page or
 one line of it.
@@ -6,22 +6,27 @@ one line of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from statistics import median
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import collapsed, stripped
-
-# Tokens that stand for no value.
-PLACEHOLDERS = ("-", "–", "—", "n/a", "na", "n.a.", "nil", "nm", "n.m.", "*", "..", "...", "•")
-NUMERIC = r"^\(?[-+]?\s*(?:(?:USD|INR|EUR|GBP|JPY|CNY)\s*|[$₹€£¥]\s*)?[-+]?\d[\d,]*(?:\.\d+)?\s*(?:%|bps|x|mn|bn|cr|crore|million|billion|lakh)?\)?$"
-PERIOD = r"^[(\[]?(?:(?:19|20)\d\d(?:[-/–—]\d{2,4})?|FY\s?\d{2,4}(?:[-/–—]\d{2,4})?|Q[1-4](?:\s+(?:FY\s?)?\d{2,4})?|\d{1,2}/\d{1,2}/\d{4})[)\]]?[*†‡]*$"
+from claimspark.operators.geometry import BREAK_HEIGHT, BREAK_PITCH, MARKERS, NUMERIC, PERIOD, PLACEHOLDERS, clusters_of, lines_of, numeric, placeholder
+from claimspark.operators.streams import each_page
 
 
 def token_class(text: Column) -> Column:
-    """placeholder, period, numeric or text."""
-    t = F.regexp_replace(F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), r"[¹²³⁰-⁹*†‡]+$", ""), "[−–](?=\\d)", "-")
-    return F.when(F.lower(stripped(text)).isin(*PLACEHOLDERS), "placeholder").when(t.rlike("(?i)" + PERIOD), "period").when(t.rlike("(?i)" + NUMERIC), "numeric").otherwise("text")
+    """placeholder, period, numeric or text. Footnote markers are no part of a token, nor is punctuation around a period."""
+    t = stripped(F.coalesce(text, F.lit("")))
+    unmarked = lambda c: stripped(F.regexp_replace(c, MARKERS, ""))
+    bare = unmarked(F.regexp_replace(t, r"^[()\[\]{}.,;:]+|[()\[\]{}.,;:]+$", ""))
+    number = F.regexp_replace(unmarked(t), "[−–]", "-")
+    of = lambda c: F.lower(c).isin(*PLACEHOLDERS)
+    return F.when(of(t), "placeholder").when(bare.rlike("(?i)" + PERIOD), "period").when(~of(unmarked(t)) & number.rlike("(?i)" + NUMERIC), "numeric").otherwise("text")
 
 
 def valid_words(words: DataFrame) -> DataFrame:
@@ -30,56 +35,107 @@ def valid_words(words: DataFrame) -> DataFrame:
 
 
 def word_lines(words: DataFrame, share: float = 0.45) -> DataFrame:
-    """words with line: a new one where the centre is further from the line's first than the tolerance, max(1, share of the median height).
+    """page, x0, y0, x1, y1, text, word_no, height (the page's median) and line of the valid words.
 
-    Sorted by centre, a line ends where the gap to the next centre is over the tolerance: gaps and islands in one page.
+    From the top, a word joins the first line whose mean centre is within max(1, share of the median height) of its own, and
+    moves that mean; else it begins a line. Lines are numbered by their final means.
     """
-    page = W.partitionBy("page")
-    centre = (F.col("y0") + F.col("y1")) / 2
-    tolerance = F.greatest(F.lit(1.0), F.lit(share) * F.median(F.col("y1") - F.col("y0")).over(page))
-    order = page.orderBy("__c", "word_no")
-    step = valid_words(words).withColumn("__c", centre).withColumn("__t", tolerance)
-    new = F.coalesce(F.col("__c") - F.lag("__c").over(order) > F.col("__t"), F.lit(True))
-    return step.withColumn("__n", new.cast("int")).withColumn("line", F.sum("__n").over(order) - 1).drop("__c", "__t", "__n")
+
+    def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
+        height = median(r[4] - r[2] for r in rows)
+        items = [((x0, y0, x1, y1), (text, n)) for n, x0, y0, x1, y1, text in rows]
+        for k, line in enumerate(lines_of(items, max(1.0, share * height))):
+            yield from ((page, *box, text, n, height, k) for box, (text, n) in line)
+
+    boxes = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    own = valid_words(words).select(F.col("page").cast("long").alias("page"), "word_no", *boxes, "text")
+    return each_page(own, ["word_no"], read, "page long, x0 double, y0 double, x1 double, y1 double, text string, word_no int, height double, line long")
 
 
 def line_cells(lines: DataFrame, least: float = 7.0, times: float = 1.25) -> DataFrame:
     """Cells (page, line, cell, x0, x1, text): words of a line joined while gaps stay under max(least, times x median height)."""
     line = W.partitionBy("page", "line")
     order = line.orderBy("x0", "word_no")
-    limit = F.greatest(F.lit(least), F.lit(times) * F.median(F.col("y1") - F.col("y0")).over(W.partitionBy("page")))
+    limit = F.greatest(F.lit(least), F.lit(times) * F.col("height"))
     new = F.coalesce(F.col("x0") - F.lag("x1").over(order) >= F.col("__l"), F.lit(True)).cast("int")
     step = lines.withColumn("__l", limit).withColumn("__n", new).withColumn("cell", F.sum("__n").over(order) - 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_no", "text"))), lambda w: w["text"]), " ")
     return step.groupBy("page", "line", "cell").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), text.alias("text"))
 
 
-def numeric_anchors(lines: DataFrame, tolerance: float = 2.5, least: int = 3) -> DataFrame:
-    """Right edges of numeric words, clustered where sorted edges are no further apart than the tolerance, on ``least`` lines or more."""
-    numbers = lines.where(token_class(F.col("text")) == "numeric").select("page", "line", "x1")
-    order = W.partitionBy("page").orderBy("x1")
-    new = F.coalesce(F.col("x1") - F.lag("x1").over(order) > tolerance, F.lit(True)).cast("int")
-    marked = numbers.withColumn("__n", new).withColumn("anchor", F.sum("__n").over(order.rangeBetween(W.unboundedPreceding, 0)) - 1)
-    return marked.groupBy("page", "anchor").agg(F.median("x1").alias("edge"), F.countDistinct("line").alias("lines")).where(F.col("lines") >= least)
+def _anchors(rows: list[tuple], least: int) -> tuple[list[tuple[float, int]], float]:
+    """(edge, lines) of the right edges that numbers share, and how near a word must be. rows: line, x0, x1, text, height."""
+    reach = max(2.5, 0.45 * rows[0][-1])
+    clusters = clusters_of([(x1, line) for line, _, x1, text, *_ in rows if numeric(text)], reach, key=lambda v: v[0])
+    lines = [len({line for _, line in c}) for c in clusters]
+    return sorted((median(x for x, _ in c), n) for c, n in zip(clusters, lines, strict=True) if n >= least), reach
+
+
+_PLACED = ("line", "x0", "x1", "text", "word_no", "height")
+
+
+def numeric_anchors(lines: DataFrame, least: int = 3) -> DataFrame:
+    """page, anchor, edge and lines: right edges of numbers in clusters, cut where the next is further from the running median
+    than max(2.5, 0.45 heights), on ``least`` lines or more."""
+
+    def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
+        return ((page, k, *a) for k, a in enumerate(_anchors(rows, least)[0]))
+
+    return each_page(lines.select("page", *_PLACED), ["line", "x0", "word_no"], read, "page long, anchor long, edge double, lines long")
 
 
 def row_runs(lines: DataFrame) -> DataFrame:
-    """Rows (page, line, top, run): a run ends where the pitch to the next line is over 3 times the smaller neighbouring pitch and over 1.5 heights."""
-    rows = lines.groupBy("page", "line").agg(F.min("y0").alias("top"), F.max(F.col("y1") - F.col("y0")).alias("height"))
+    """Rows (page, line, top, run): a run ends where the pitch to the next line is over 3 times the least neighbouring one, or 4
+    heights where there is none, and over 1.5 heights."""
+    rows = lines.groupBy("page", "line").agg(F.min("y0").alias("top"), F.max("height").alias("height"))
     order = W.partitionBy("page").orderBy("line")
     step = rows.withColumn("pitch", F.col("top") - F.lag("top").over(order))
-    step = step.withColumn("__near", F.least(F.lag("pitch").over(order), F.lead("pitch").over(order)))
-    reference = F.coalesce(F.when(F.col("__near") > 0, F.col("__near")), 4 * F.col("height"))
-    apart = (F.col("pitch") > 3 * reference) & (F.col("pitch") > 1.5 * F.col("height"))
+    beside = lambda c: F.when(c > 0, c)
+    near = F.least(beside(F.lag("pitch").over(order)), beside(F.lead("pitch").over(order)))
+    step = step.withColumn("__ref", F.coalesce(near, 4 * F.col("height")))
+    apart = (F.col("pitch") > BREAK_PITCH * F.col("__ref")) & (F.col("pitch") > BREAK_HEIGHT * F.col("height"))
     return step.withColumn("__n", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("__n").over(order)).select("page", "line", "top", "run")
 
 
-def aligned_grid(lines: DataFrame, anchors: DataFrame, reach: float = 4.0) -> DataFrame:
-    """Cells (page, line, anchor, text): each numeric word at the nearest anchor of its page that is within reach."""
-    numbers = lines.where(token_class(F.col("text")) == "numeric").select("page", "line", "word_no", "x1", "text")
-    near = numbers.join(anchors.select("page", "anchor", "edge"), "page").where(F.abs(F.col("x1") - F.col("edge")) <= reach)
-    best = near.groupBy("page", "line", "word_no").agg(F.min(F.struct(F.abs(F.col("x1") - F.col("edge")).alias("d"), F.col("anchor").alias("anchor"), F.col("text").alias("text"))).alias("b"))
-    return best.select("page", "line", "word_no", "b.anchor", "b.text")
+def aligned_grid(lines: DataFrame, least: int = 3) -> DataFrame:
+    """Cells (page, line, word_no, anchor, text): each number at the nearest anchor, if its right edge is within reach; a
+    placeholder within 1.8 times that, unless it stands left of the columns."""
+
+    def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
+        anchors, reach = _anchors(rows, least)
+        for line, x0, x1, text, n, _ in rows if anchors else ():
+            k = min(range(len(anchors)), key=lambda i: abs(anchors[i][0] - x1))
+            away = abs(anchors[k][0] - x1)
+            if numeric(text) and away <= reach or placeholder(text) and away <= 1.8 * reach and x0 >= anchors[0][0] - reach:
+                yield page, line, n, k, text
+
+    return each_page(lines.select("page", *_PLACED), ["line", "x0", "word_no"], read, "page long, line long, word_no int, anchor long, text string")
+
+
+def continued(grid: DataFrame, least: int = 2) -> DataFrame:
+    """Rows (page, line, columns) of the lines that share ``least`` columns or more with the line after them; columns: how many."""
+    rows = grid.groupBy("page", "line").agg(F.collect_set("anchor").alias("own"))  # as many as columns
+    order = W.partitionBy("page").orderBy("line")
+    both = rows.withColumn("next", F.lead("line").over(order)).withColumn("columns", F.size(F.array_intersect("own", F.lead("own").over(order))))
+    return both.where((F.col("next") == F.col("line") + 1) & (F.col("columns") >= least)).select("page", "line", "columns")
+
+
+def measured(pages: DataFrame, measure: Callable[[str], int], most_words: int = 3000, most_chars: int = 20000) -> DataFrame:
+    """pages (with words, chars and source) and drawings, which ``measure`` counts by source, only on pages that aren't ruled out by
+    their text; null on others, and where it fails."""
+
+    @F.arrow_udf("int")
+    def count(sources: pa.Array) -> pa.Array:
+        out = []
+        for s in sources.to_pylist():
+            try:
+                out.append(measure(s))
+            except Exception:
+                out.append(None)
+        return pa.array(out, pa.int32())
+
+    small = F.coalesce((F.col("words") <= most_words) & (F.col("chars") <= most_chars), F.lit(False))
+    return pages.where(small).withColumn("drawings", count("source")).unionByName(pages.where(~small).withColumn("drawings", F.lit(None).cast("int")))
 
 
 def overlap_share(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column) -> Column:
@@ -115,61 +171,3 @@ def layout_ids(candidates: DataFrame) -> DataFrame:
     last = lambda c: F.coalesce(F.col(c), F.lit(float("inf")))
     n = F.row_number().over(W.partitionBy("page").orderBy(last("y0"), last("x0"), "method", "text"))
     return candidates.withColumn("table_id", F.format_string("p%d-t%02d", F.col("page"), n - 1))
-
-
-def label_cards(cells: DataFrame) -> DataFrame:
-    """Cards (page, label, value): an upper-case label and the numeric cell that lies nearest below it.
-
-    Below: from 1 above the label's baseline to max(18, 3.5 heights) under it, at most max(24, 3 heights) to the side.
-    """
-    upper = F.col("text").rlike(r"\p{Lu}") & (F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) >= 0.68 * F.length(F.regexp_replace("text", r"[^\p{L}]", ""))) & (F.length("text") <= 60)
-    labels = cells.where(upper & (token_class(F.col("text")) == "text")).select("page", F.col("text").alias("label"), F.col("x0").alias("lx"), F.col("y1").alias("ly"), (F.col("y1") - F.col("y0")).alias("h"), F.col("line").alias("l_line"))
-    values = cells.where(token_class(F.col("text")) == "numeric").select("page", F.col("text").alias("value"), F.col("x0").alias("vx"), F.col("y0").alias("vy"))
-    down, side = F.col("vy") - F.col("ly"), F.abs(F.col("vx") - F.col("lx"))
-    near = labels.join(values, "page").where(down.between(F.lit(-1.0), F.greatest(F.lit(18.0), 3.5 * F.col("h"))) & (side <= F.greatest(F.lit(24.0), 3 * F.col("h"))))
-    best = near.groupBy("page", "l_line", "label", "lx").agg(F.min(F.struct(down.alias("d"), side.alias("s"), F.col("value").alias("value"))).alias("b"))
-    return best.select("page", "label", F.col("b.value").alias("value"))
-
-
-def contract_violations(cells: DataFrame) -> DataFrame:
-    """Rows (table_id, kind, row, col) of what is wrong with cells (table_id, row, col, row_span, col_span); none: valid."""
-    bad = cells.where("row < 0 OR col < 0 OR row_span < 1 OR col_span < 1").select("table_id", F.lit("bad_span").alias("kind"), "row", "col")
-    good = cells.where("row >= 0 AND col >= 0 AND row_span >= 1 AND col_span >= 1")
-    twice = good.groupBy("table_id", "row", "col").count().where("count > 1").select("table_id", F.lit("repeated_origin").alias("kind"), "row", "col")
-    covered = good.distinct().select("table_id", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1)).alias("r"), "col", "col_span").select("table_id", F.col("r").alias("row"), F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)).alias("col"))
-    overlap = covered.groupBy("table_id", "row", "col").count().where("count > 1").select("table_id", F.lit("overlap").alias("kind"), "row", "col")
-    return bad.unionByName(twice).unionByName(overlap)
-
-
-def assign_in_order(positions: list[float], columns: list[float], reach: float) -> tuple[list[int | None], bool]:
-    """Tokens to columns, order kept: as many as can be within reach, then the least total distance; and whether the best is unique."""
-    n, m = len(positions), len(columns)
-    best: list[list[tuple[int, float, int]]] = [[(0, 0.0, 1)] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d = abs(positions[i - 1] - columns[j - 1])
-            a, b, c = best[i - 1][j], best[i][j - 1], best[i - 1][j - 1]
-            options = {(a[0], round(-a[1], 9)), (b[0], round(-b[1], 9))}
-            ways: dict[tuple, int] = {}
-            both = best[i - 1][j - 1]
-            for k in options:  # leave out the token or the column; both at once would count twice
-                ways[k] = sum(x[2] for x in (a, b) if (x[0], round(-x[1], 9)) == k) - (both[2] if (both[0], round(-both[1], 9)) == k else 0)
-            if d <= reach:
-                k = (c[0] + 1, round(-(c[1] + d), 9))
-                ways[k] = ways.get(k, 0) + c[2]
-            top = max(ways)
-            best[i][j] = (top[0], -top[1], ways[top])
-    out: list[int | None] = [None] * n
-    i, j = n, m
-    while i and j:
-        here = best[i][j]
-        d = abs(positions[i - 1] - columns[j - 1])
-        c = best[i - 1][j - 1]
-        if d <= reach and (c[0] + 1, round(c[1] + d, 9)) == (here[0], round(here[1], 9)):
-            out[i - 1] = j - 1
-            i, j = i - 1, j - 1
-        elif best[i - 1][j][:1] == here[:1] and round(best[i - 1][j][1], 9) == round(here[1], 9):
-            i -= 1
-        else:
-            j -= 1
-    return out, best[n][m][2] == 1

@@ -31,6 +31,7 @@ def is_status_progression(value_num: Column, value_raw: Column) -> Column:
     return value_num.isNull() & F.coalesce(has_any(F.lower(stripped(value_raw)), STATUS_STEMS), F.lit(False))
 
 
+# The sentences of reasons.
 def rules() -> list[Rule]:
     """In order. Columns are those of ``matching.compared``, and both values as texts."""
     c = F.col
@@ -83,9 +84,12 @@ def related(compared: DataFrame) -> DataFrame:
     return step.select(*compared.columns, of(names).alias("rule"), of(labels).alias("relationship"), of(confidences).alias("confidence"), reason.alias("reason"))
 
 
-def comparisons(compared: DataFrame) -> DataFrame:
-    """Rows of the store: id, fact_a_id, fact_b_id, relationship, confidence, reason, dimensions, reasoning_mode."""
-    return related(compared).select(F.concat_ws("_", "a_id", "b_id").alias("id"), F.col("a_id").alias("fact_a_id"), F.col("b_id").alias("fact_b_id"), "relationship", "confidence", "reason", F.col("dims").alias("dimensions"), F.lit("heuristic").alias("reasoning_mode"), "rule")
+def comparisons(compared: DataFrame, judged: DataFrame | None = None, mode: str = "heuristic") -> DataFrame:
+    """Rows of the store: id, fact_a_id, fact_b_id, relationship, confidence, reason, dimensions, reasoning_mode.
+
+    ``judged``: the pairs as another mode than the rules has labelled them.
+    """
+    return (related(compared) if judged is None else judged).select(F.concat_ws("_", "a_id", "b_id").alias("id"), F.col("a_id").alias("fact_a_id"), F.col("b_id").alias("fact_b_id"), "relationship", "confidence", "reason", F.col("dims").alias("dimensions"), F.lit(mode).alias("reasoning_mode"), "rule")
 
 
 RESPONSE = "relationship string, confidence string, reason string"

@@ -39,8 +39,12 @@ def score_pages(pages: DataFrame, keywords: tuple[str, ...] = KEYWORDS, threshol
     tabular = F.size(F.filter(lines(text), lambda x: F.regexp_count(x, F.lit(NUMBER)) >= 3))
     headings = F.size(F.filter(lines(text), is_heading))
     low = F.lower(text)
-    hits = F.array_compact(F.array(*[F.when(low.rlike(rf"(?U)\b{re.escape(k)}\b"), k) for k in keywords]))
-    base = pages.select(
+    # one pass finds the words that begin a keyword; only where there are any are keywords looked for one by one
+    heads = "|".join(sorted({re.escape(k.split()[0]) for k in keywords}))
+    begun = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?U)\b({heads})\b"), 1))
+    said = lambda k: low.rlike(rf"(?U)\b{re.escape(k)}\b") if " " in k else F.lit(True)
+    hits = F.array_compact(F.array(*[F.when(F.array_contains(F.col("__begun"), k.split()[0]) & said(k), k) for k in keywords]))
+    base = pages.withColumn("__begun", begun).select(
         *pages.columns, blank.alias("__blank"), F.greatest(count(r"[\p{L}\p{N}_]+"), F.lit(1)).alias("__tokens"), count(NUMBER).alias("__numbers"), count(PERCENTAGE).alias("percentage_count"),
         count(CURRENCY).alias("currency_count"), count(DATE).alias("date_fiscal_count"), tabular.alias("tabular_lines"), headings.alias("__headings"), hits.alias("keyword_matches"),
     )

@@ -5,48 +5,83 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import filled, has_any
+from claimspark.operators.facts import value_text
 
-KEYS = {"documents": ["document_id"], "pages": ["document_id", "page_number"], "facts": ["id"], "comparisons": ["id"]}
+KEYS = {"documents": ["document_id"], "pages": ["document_id", "page_number"], "facts": ["id"], "comparisons": ["id"], "results": ["at"]}
+#: The setting that names a store's folder, where none is given, and the folder where that is unset too.
+SETTING, DEFAULT = "spark.claimspark.store", "claims"
+#: So many saves lie beside a table's base before they are merged into a new one.
+DELTAS = 8
 
 
 class ClaimStore:
-    """Parquet tables under a folder. A save writes a whole new version and then commits it, so readers see all or nothing."""
+    """Parquet tables under a folder: of each a base, and a part for each save since, of which the latest row of a key holds.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    A save costs what it saves, and now and then a merge. A part counts once it is committed, so readers see all or nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, (path or spark.conf.get(SETTING, DEFAULT)).rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[str]:
-        """Committed versions, oldest first."""
+    def _parts(self, name: str) -> list[str]:
+        """Committed parts since the last base, that first."""
         root = self._path(f"{self.path}/{name}")
         if not self._fs.exists(root):
             return []
-        return sorted(str(s.getPath()) for s in self._fs.listStatus(root) if self._fs.exists(self._path(str(s.getPath()) + "/_SUCCESS")))
+        every = sorted(str(s.getPath()) for s in self._fs.listStatus(root) if self._fs.exists(self._path(str(s.getPath()) + "/_SUCCESS")))
+        bases = [n for n, p in enumerate(every) if p.endswith("-base")]
+        return every[bases[-1] if bases else 0 :]
 
     def read(self, name: str) -> DataFrame | None:
-        versions = self._versions(name)
-        return self.spark.read.parquet(versions[-1]) if versions else None
-
-    def save(self, name: str, rows: DataFrame, keep: int = 2) -> None:
-        """Upsert by the table's key: a row replaces that of the same key. Of equal keys in ``rows`` one is kept."""
-        keys = KEYS[name]
-        rows = rows.dropDuplicates(keys)
-        old = self.read(name)
-        if old is not None:
-            rows = old.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
-        versions = self._versions(name)
-        number = int(versions[-1].rpartition("/v")[2].split("-")[0]) + 1 if versions else 0
-        rows.write.parquet(f"{self.path}/{name}/v{number:08d}-{uuid.uuid4().hex[:8]}")
-        for stale in self._versions(name)[:-keep]:
+        parts = self._parts(name)
+        if not parts:
+            return None
+        rows = None
+        for n, part in enumerate(parts):
+            own = self.spark.read.parquet(part).withColumn("__n", F.lit(n))
+            rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+        if len(parts) > 1:
+            latest = W.partitionBy(*KEYS[name]).orderBy(F.desc("__n"))
+            rows = rows.withColumn("__k", F.row_number().over(latest)).where("__k = 1").drop("__k")
+        return rows.where("NOT __gone").drop("__n", "__gone")
+
+    def _write(self, name: str, rows: DataFrame, kind: str) -> None:
+        parts = self._parts(name)
+        number = int(parts[-1].rpartition("/v")[2].split("-")[0]) + 1 if parts else 0
+        rows.write.parquet(f"{self.path}/{name}/v{number:08d}-{uuid.uuid4().hex[:8]}-{kind}")
+
+    def save(self, name: str, rows: DataFrame, gone: bool = False) -> None:
+        """Upsert by the table's key: a row replaces that of the same key, or takes it away. Of equal keys in ``rows`` one is kept."""
+        parts = self._parts(name)
+        self._write(name, rows.dropDuplicates(KEYS[name]).withColumn("__gone", F.lit(gone)), "part" if parts else "base")
+        if len(parts) >= DELTAS:
+            self.merge(name)
+
+    def remove(self, name: str, rows: DataFrame) -> None:
+        self.save(name, rows, gone=True)
+
+    def merge(self, name: str) -> None:
+        """One base of all parts; what the base before it was made of goes, that base stays for those who read it."""
+        parts = self._parts(name)
+        self._write(name, self.read(name).withColumn("__gone", F.lit(False)), "base")
+        for stale in parts[1:]:
             self._fs.delete(self._path(stale), True)
 
+    def reset(self) -> None:
+        """An empty store."""
+        self._fs.delete(self._path(self.path), True)
+
     def health(self) -> dict:
-        return {"status": "ok", **{name: (0 if (df := self.read(name)) is None else df.count()) for name in KEYS}}
+        counts = {name: (0 if (df := self.read(name)) is None else df.count()) for name in KEYS if name != "results"}
+        found = self.read("comparisons")
+        by = {} if found is None else {r[0]: r[1] for r in found.groupBy("relationship").count().collect()}  # as many as labels
+        return {"status": "ok", **counts, "relationships": by}
 
 
 def documents_with_counts(documents: DataFrame, facts: DataFrame) -> DataFrame:
@@ -93,7 +128,7 @@ def fact_edges(fact_id: str, comparisons: DataFrame, facts: DataFrame) -> DataFr
     own = comparisons.where((F.col("fact_a_id") == fact_id) | (F.col("fact_b_id") == fact_id))
     own = own.withColumn("other_id", F.when(F.col("fact_a_id") == fact_id, F.col("fact_b_id")).otherwise(F.col("fact_a_id")))
     other = facts.select(F.col("id").alias("other_id"), F.col("subject").alias("other_subject"), F.col("document_id").alias("other_document_id"))
-    return own.join(other, "other_id", "left").select("id", "relationship", "confidence", "other_id", "other_subject", "other_document_id")
+    return own.join(other, "other_id", "left").orderBy(F.desc("confidence"), "id").select("id", "relationship", "confidence", "other_id", "other_subject", "other_document_id")
 
 
 def store_stats(documents: DataFrame, pages: DataFrame, facts: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -126,8 +161,11 @@ def demo_case(listed: DataFrame, name: str, **terms: tuple[str, ...]) -> DataFra
     return listed.where(demo_cases(**terms)[name])
 
 
-def decoded_value(facts: DataFrame) -> DataFrame:
-    """facts with value, as text: the number if there is one, else the raw text."""
-    from claimspark.operators.facts import value_text
+def demo_top(listed: DataFrame, name: str, most: int = 3, **terms: tuple[str, ...]) -> DataFrame:
+    """The view's rows that are shown: those of highest confidence."""
+    return page_of(demo_case(listed, name, **terms), [F.desc("confidence"), "id"], most)
+
 
+def decoded(facts: DataFrame) -> DataFrame:
+    """facts with value, as text: the number if there is one, else the raw text."""
     return facts.withColumn("value", value_text(F.col("value_num"), filled(F.col("value_raw"))))

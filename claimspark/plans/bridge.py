@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import collapsed
@@ -61,9 +63,24 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What stands below the text of every fourth document, with numbers that follow from its id; below that of the next ones.
+REPORT = (
+    "\nREVENUE GROWTH\n1 2 3\n4 5 6\nThe board said that real GDP growth moderated to {0}.5 per cent in 2024-25, by second advance figures.\nThat year headline inflation had declined to {1}.2 percent in September 2025.\n"
+    "Then revenue from services stood at ₹{2} cr for FY24\nnet loss for FY24 was ₹{3} cr; Ms. Ann Lee ceased to be a Director with effect from May 01, 2024."
+)
+NOTICE = "\nNotice Of Meeting\nA director was appointed to the board."
+
+
+def report(doc_id: Column) -> Column:
+    parts = re.split(r"\{\d\}", REPORT)
+    numbers = (doc_id % 10, doc_id % 7, doc_id + 1, doc_id + 2)
+    return F.concat(F.lit(parts[0]), *[x for n, p in zip(numbers, parts[1:], strict=True) for x in (n.cast("string"), F.lit(p))])
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one-page documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("raw_text"), F.lit(False).alias("has_tables"))
+    """Documents as one-page documents, some of them with a report or a notice below."""
+    more = F.when(F.col("doc_id") % 4 == 0, report(F.col("doc_id"))).when(F.col("doc_id") % 4 == 1, NOTICE).otherwise("")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), F.lit(1).alias("page_number"), F.concat(F.coalesce("text", F.lit("")), more).alias("raw_text"), F.lit(False).alias("has_tables"))
 
 
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +93,51 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with row, their place in the order."""
+    row = F.expr("int(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", row.alias("row"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a page for each order: a row for each line item, a label at the left and three numbers aligned at the right."""
-    lines = table(spark, sf_dir, "lineitem")
-    row = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1")
-    placed = lines.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", row.alias("row"))
-    number = lambda c, edge: F.struct(F.lit(float(edge)).alias("x1"), F.format_string("%.2f", F.col(c)).alias("text"))
+    """Words of a page for each order: a row for each line item, a label at the left and three numbers aligned at the right.
+
+    Words sit a little high or low and numbers a little left or right; after each fourth row is a wider gap, and each third
+    row slants, so that its last words are nearer to the next line's than to its own first ones.
+    """
+    number = lambda c, edge: F.struct((F.lit(float(edge)) + (F.col("l_partkey") % 5 - 2) * 0.5).alias("x1"), F.format_string("%.2f", F.col(c)).alias("text"))
     label = F.struct(F.lit(None).cast("double").alias("x1"), F.concat(F.lit("Item"), F.col("l_partkey")).alias("text"))
     cells = F.array(label, number("l_quantity", 250), number("l_extendedprice", 350), number("l_discount", 450))
-    y0 = 40.0 + 12 * F.col("row")
+    word_no = (F.col("row") * 4 + F.col("k")).cast("int")
+    slant = F.when(F.col("row") % 3 == 2, F.col("k") * 2.5).otherwise(0.0)
+    y0 = 40.0 + 12 * F.col("row") + 30 * F.floor(F.col("row") / 4) + (word_no * 7 % 5) * 0.75 - 1.5 + slant
     width = F.length("w.text") * 5.0
-    return placed.select("l_orderkey", "row", F.posexplode(cells).alias("k", "w")).select(
-        F.col("l_orderkey").alias("page"), F.coalesce(F.col("w.x1") - width, F.lit(30.0)).alias("x0"), y0.alias("y0"), F.coalesce("w.x1", F.lit(30.0) + width).alias("x1"), (y0 + 9).alias("y1"), F.col("w.text").alias("text"), (F.col("row") * 4 + F.col("k")).cast("int").alias("word_no")
+    return placed(spark, sf_dir).select("l_orderkey", "row", F.posexplode(cells).alias("k", "w")).select(
+        F.col("l_orderkey").alias("page"), F.coalesce(F.col("w.x1") - width, F.lit(30.0)).alias("x0"), y0.alias("y0"), F.coalesce("w.x1", F.lit(30.0) + width).alias("x1"), (y0 + 9).alias("y1"), F.col("w.text").alias("text"), word_no.alias("word_no")
+    )
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each order: a header cell over three columns, then a label and three values for each line item; some cells
+    span too much or nothing, some boxes are upside down or endless."""
+    rows = placed(spark, sf_dir)
+    head = rows.where("row = 0").selectExpr("l_orderkey AS page", "0 AS row", "1 AS col", "1 AS row_span", "3 AS col_span", "200D AS x0", "20D AS y0", "450D AS x1", "29D AS y1", "'Amounts' AS text")
+    own = rows.selectExpr("*", "posexplode(array('label', 'quantity', 'price', 'discount')) AS (col, text)").selectExpr(
+        "l_orderkey AS page", "row + 1 AS row", "col", "CASE WHEN l_partkey % 97 = 0 THEN 0 WHEN l_suppkey % 31 = 0 AND col = 2 THEN 2 ELSE 1 END AS row_span", "CASE WHEN l_suppkey % 37 = 0 AND col = 1 THEN 2 ELSE 1 END AS col_span",
+        "50D + 100 * col AS x0", "40D + 12 * row AS y0", "CASE WHEN l_partkey % 83 = 0 AND col = 3 THEN double('Infinity') ELSE 90D + 100 * col END AS x1", "CASE WHEN l_partkey % 89 = 0 THEN 30D ELSE 49D + 12 * row END AS y1", "text",
+    )
+    return head.unionByName(own).selectExpr("concat('t', page) AS table_id", "*")
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context for the price of each line item; of some, something is missing, unsaid or points elsewhere."""
+    status = lambda d, n: f"named_struct('dimension', '{d}', 'status', CASE WHEN l_partkey % {n} = 0 THEN 'unresolved' ELSE 'resolved' END, 'reason', CASE WHEN l_suppkey % 2 = 0 THEN 'not stated' END)"
+    every = ", ".join(status(d, n) for d, n in zip(("row_value_association", "header_association", "entity", "period", "unit"), (41, 43, 47, 53, 59), strict=True))
+    return placed(spark, sf_dir).selectExpr(
+        "l_orderkey * 1000 + row AS context_id", "l_orderkey + int(l_partkey % 61 = 0) AS page", "concat('t', l_orderkey) AS table_id", "row + 1 AS row", "2 AS value_col",
+        "CASE WHEN l_partkey % 11 <> 0 THEN named_struct('row', row + 1 + int(l_partkey % 67 = 0), 'col', 0) END AS label", "CASE WHEN l_partkey % 71 <> 0 THEN named_struct('row', row + 1, 'col', 2 + int(l_partkey % 13 = 0)) END AS value_cell",
+        "CASE WHEN l_partkey % 7 = 0 THEN filter(array(named_struct('row', 0, 'col', 1)), x -> false) ELSE array(named_struct('row', CASE WHEN l_partkey % 19 = 0 THEN row + 1 ELSE 0 END, 'col', 1)) END AS header",
+        "CASE WHEN l_partkey % 23 = 0 THEN array(named_struct('row', 99, 'col', 0)) ELSE filter(array(named_struct('row', 0, 'col', 0)), x -> false) END AS sources", "CASE WHEN l_partkey % 73 <> 0 THEN string(l_suppkey) END AS raw_value",
+        "CASE WHEN l_partkey % 29 <> 0 THEN named_struct('raw', CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'x' END, 'number', CASE WHEN l_suppkey % 19 = 0 THEN double('NaN') WHEN l_suppkey % 23 <> 0 THEN l_extendedprice END, 'unit_kind', CASE WHEN l_suppkey % 5 = 0 THEN 'percent' WHEN l_suppkey % 7 <> 0 THEN 'currency' END, 'currency', CASE WHEN l_suppkey % 11 = 0 THEN 'inr' WHEN l_suppkey % 13 <> 0 THEN 'INR' END) END AS value",
+        f"concat(array({every}), CASE WHEN l_partkey % 31 = 0 THEN array({status('unit', 2)}) ELSE array({status('scale', 37)}) END) AS resolutions",
     )

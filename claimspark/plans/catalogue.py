@@ -6,15 +6,18 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimspark.functions.compare import raw_dimensions
 from claimspark.functions.normalize import with_entity, with_period, with_predicate, with_value
-from claimspark.operators import evaluation, layout, store
+from claimspark.operators import contracts, evaluation, grids, layout, store
 from claimspark.operators.extraction import extract
 from claimspark.operators.facts import dedupe, fingerprint, ground, normalize
-from claimspark.operators.layout import assign_in_order
+from claimspark.operators.geometry import assign_in_order
 from claimspark.operators.matching import blocks, candidate_pairs, compared, statistics
 from claimspark.operators.reasoning import comparisons, parsed_response
+from claimspark.operators.streams import each_page
 from claimspark.operators.scoring import document_rollup, keyword_hits, score_pages
 from claimspark.plans import bridge, fixtures
 from claimspark.sources.shared import stored
@@ -35,12 +38,12 @@ def norm(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_norm(spark: SparkSession, sf: str) -> DataFrame:
     """The stored normalized facts: a filter on them reads Parquet, and isn't pushed through the normalization."""
-    return stored(spark, f"normalized {sf}", lambda: norm(spark, sf))
+    return stored(spark, "normalized", sf, lambda: norm(spark, sf))
 
 
 def unique_facts(spark: SparkSession, sf: str) -> DataFrame:
     """The stored facts: written once, as ingest does, since pairs read them twice."""
-    return stored(spark, f"facts {sf}", lambda: dedupe(stored_norm(spark, sf)).drop("fingerprint"))
+    return stored(spark, "facts", sf, lambda: dedupe(stored_norm(spark, sf)).drop("fingerprint"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +56,7 @@ def differences(spark: SparkSession, sf: str) -> DataFrame:
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
     """The stored comparisons."""
-    return stored(spark, f"comparisons {sf}", lambda: comparisons(differences(spark, sf)))
+    return stored(spark, "comparisons", sf, lambda: comparisons(differences(spark, sf)))
 
 
 def listed(spark: SparkSession, sf: str, **filters) -> DataFrame:
@@ -80,8 +83,14 @@ def page_score_total(spark, sf):
 
 @query
 def candidate_pages(spark, sf):
-    """With a threshold that these texts reach."""
-    return score_pages(bridge.pages(spark, sf), threshold=1.0).where("is_candidate").select("document_id", "total_score")
+    return scored(spark, sf).where("is_candidate").select("document_id", "total_score")
+
+
+@query
+def candidate_claims(spark, sf):
+    """Claims of the candidate pages; of the fixture's rules all that the reports touch."""
+    claims = extract(scored(spark, sf)).withColumn("qualifiers", F.array_join("qualifiers", "; "))
+    return claims.select("document_id", "rule", "subject", "predicate", "value_raw", "value_num", "unit", "period", "as_of", "scope", "qualifiers")
 
 
 @query
@@ -92,8 +101,7 @@ def keyword_hits_query(spark, sf):
 @query
 def document_rollup_query(spark, sf):
     """Sources as documents, their documents as pages."""
-    pages = bridge.table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.lit("x.pdf").alias("filename"), F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("raw_text"), F.lit(False).alias("has_tables"))
-    return document_rollup(score_pages(pages, threshold=1.0))
+    return document_rollup(score_pages(bridge.pages(spark, sf).withColumn("document_id", F.col("source"))))
 
 
 @query
@@ -229,6 +237,21 @@ def fact_detail_edges(spark, sf):
     return store.fact_edges(first, found(spark, sf), facts).select("id", "relationship", "confidence", "other_id")
 
 
+@query
+def raw_dimension_diff(spark, sf):
+    return pairs(spark, sf).select("a_id", "b_id", raw_dimensions("a_", "b_").alias("d")).select("a_id", "b_id", "d.*")
+
+
+@query
+def decoded_facts(spark, sf):
+    return store.decoded(stored_norm(spark, sf)).select("id", "value")
+
+
+@query
+def demo_top_corroborate(spark, sf):
+    return store.demo_top(listed(spark, sf), "corroborate", **DEMO_TERMS).select("id", "confidence")
+
+
 @query
 def documents_with_fact_counts(spark, sf):
     facts = stored_norm(spark, sf)
@@ -252,27 +275,41 @@ def _demo(spark, sf, name):
 QUERIES |= {f"demo_case_{name}": partial(_demo, name=name) for name in ("corroborate", "investigate", "vintage_reconcile", "director_reconcile", "scope_failure")}
 
 
-def _evaluated(spark, sf, every: int) -> DataFrame:
+def _outcomes(spark, sf) -> DataFrame:
+    """All facts against themselves: of the gold set some have another unit, of the predictions some another predicate,
+    period or scope."""
     number = F.floor(F.col("seq") / 2)
-    facts = bridge.facts(spark, sf).where("value_num IS NOT NULL AND document_id IN ('doc_A', 'doc_C')").where(number % every != 0)
-    return evaluation.keyed(facts).select(F.col("document_id").alias("source"), "key")
+    changed = lambda every, new, old: F.when(number % every == 0, new).otherwise(F.col(old))
+    facts = bridge.facts(spark, sf)
+    gold = facts.withColumn("unit", changed(3, F.concat_ws(" ", "unit", F.lit("restated")), "unit"))
+    predicted = facts.withColumns({"predicate": changed(5, F.lit("turnover"), "predicate"), "period": changed(7, F.lit(None), "period"), "scope": changed(4, F.lit("group"), "scope")})
+    own = lambda df: evaluation.keyed(df, dated=True).select("key", "seq", F.col("document_id").alias("source"), *evaluation.CAPTURED)
+    return evaluation.matched(own(predicted), own(gold))
 
 
 @query
 def extraction_scores(spark, sf):
-    """Facts with a third left out as the gold set, those with a fifth left out as predictions."""
-    return evaluation.extraction_scores(_evaluated(spark, sf, 5), _evaluated(spark, sf, 3), by_source=True)
+    return evaluation.extraction_scores(_outcomes(spark, sf))
+
+
+@query
+def extraction_gold_by_source(spark, sf):
+    return evaluation.gold_by_source(_outcomes(spark, sf))
 
 
 def _unique(spark, sf):
-    return evaluation.unique_pairs(found(spark, sf), unique_facts(spark, sf))
+    return stored(spark, "unique pairs", sf, lambda: evaluation.unique_pairs(found(spark, sf), unique_facts(spark, sf)))
 
 
 def _judged(spark, sf):
-    best = _unique(spark, sf)
+    """All pairs against themselves: some gold pairs are forbidden, some labelled otherwise, some were never predicted."""
     nth = lambda n: F.ascii(F.substring(F.md5("pair"), n, 1))
-    gold = best.select("pair", F.when(nth(1) % 4 == 0, "absent").otherwise("label").alias("expectation"), F.when(nth(2) % 5 == 0, "CONTRADICTS").otherwise(F.col("relationship")).alias("expected"))
-    return evaluation.judged_pairs(best.where(nth(3) % 6 != 0), gold)
+    gold = _unique(spark, sf).select(
+        F.when(nth(3) % 6 == 0, F.concat("pair", F.lit("?"))).otherwise(F.col("pair")).alias("pair"),
+        F.when(nth(1) % 4 == 0, "absent").otherwise("label").alias("expectation"),
+        F.when(nth(2) % 5 == 0, "CONTRADICTS").otherwise(F.col("relationship")).alias("expected"),
+    )
+    return evaluation.judged_pairs(_unique(spark, sf), gold)
 
 
 @query
@@ -280,18 +317,24 @@ def unique_predicted_pairs(spark, sf):
     return _unique(spark, sf).select(F.md5("pair").alias("pair"), "relationship")
 
 
+@query
+def judged_gold_pairs(spark, sf):
+    return _judged(spark, sf).select(F.md5("pair").alias("pair"), "expectation", "expected", "produced", "outcome")
+
+
 @query
 def relationship_scores(spark, sf):
-    return evaluation.relationship_scores(_judged(spark, sf))
+    return evaluation.relationship_scores(_judged(spark, sf), _unique(spark, sf))
 
 
 @query
 def per_class_scores(spark, sf):
-    return evaluation.per_class_scores(_judged(spark, sf))
+    return evaluation.per_class_scores(_judged(spark, sf), _unique(spark, sf))
 
 
 def lines(spark, sf):
-    return layout.word_lines(bridge.words(spark, sf))
+    """The stored lines: anchors, cells and runs read them."""
+    return stored(spark, "lines", sf, lambda: layout.word_lines(bridge.words(spark, sf)))
 
 
 @query
@@ -311,8 +354,13 @@ def numeric_anchors(spark, sf):
 
 @query
 def aligned_grid(spark, sf):
-    own = lines(spark, sf)
-    return layout.aligned_grid(own, layout.numeric_anchors(own))
+    return layout.aligned_grid(lines(spark, sf))
+
+
+@query
+def shared_columns(spark, sf):
+    """Neighbouring lines of which two columns or more go on."""
+    return layout.continued(layout.aligned_grid(lines(spark, sf)))
 
 
 @query
@@ -322,23 +370,25 @@ def row_pitch_runs(spark, sf):
 
 @query
 def token_classification(spark, sf):
-    return spark.createDataFrame([(t,) for t in TOKENS], "t string").withColumn("kind", layout.token_class(F.col("t")))
+    """The words of all pages, and tokens of each kind."""
+    tokens = spark.createDataFrame([(t,) for t in TOKENS], "t string").unionByName(bridge.words(spark, sf).select(F.col("text").alias("t"))).distinct()
+    return tokens.withColumn("kind", layout.token_class(F.col("t")))
 
 
 @query
 def layout_order_ids(spark, sf):
-    cells = layout.line_cells(lines(spark, sf)).where("cell = 0").withColumn("method", F.lit("word_geometry"))
+    cells = layout.line_cells(lines(spark, sf)).withColumn("method", F.lit("word_geometry"))
     return layout.layout_ids(cells).select("page", "text", "table_id")
 
 
 @query
 def bbox_overlap(spark, sf):
     """Of each cell, the share that the cell to its left, 60 wider, covers."""
-    cells = layout.line_cells(lines(spark, sf))
-    left = cells.select("page", "line", (F.col("cell") + 1).alias("cell"), F.col("cell").alias("other"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = cells.join(left, ["page", "line", "cell"])
-    share = layout.overlap_share(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.col("l_x0"), F.col("l_y0"), F.col("l_x1") + 60, F.col("l_y1"))
-    return both.select("page", "line", "cell", "other", share.alias("share"))
+    beside = W.partitionBy("page", "line").orderBy("cell")
+    own = ("x0", "y0", "x1", "y1")
+    cells = layout.line_cells(lines(spark, sf)).withColumns({"other": F.lag("cell").over(beside)} | {f"l_{c}": F.lag(c).over(beside) for c in own})
+    share = layout.overlap_share(*map(F.col, own), F.col("l_x0"), F.col("l_y0"), F.col("l_x1") + 60, F.col("l_y1"))
+    return cells.where("other IS NOT NULL").select("page", "line", "cell", "other", share.alias("share"))
 
 
 @query
@@ -362,28 +412,74 @@ def extract_claims(spark, sf):
     return extract(fixtures.pages(spark), candidate_only=False).drop("number")
 
 
+def page_layouts(spark, sf):
+    """The stored layout of all pages."""
+    return stored(spark, "layout", sf, lambda: grids.page_layout(bridge.words(spark, sf)))
+
+
+@query
+def table_candidates(spark, sf):
+    """Cells of the tables that are read from the words of each page."""
+    return grids.table_cells(page_layouts(spark, sf))
+
+
+@query
+def table_diagnostics(spark, sf):
+    return grids.diagnostics(page_layouts(spark, sf))
+
+
 @query
 def label_value_cards(spark, sf):
-    return layout.label_cards(layout.line_cells(layout.word_lines(fixtures.card_words(spark))))
+    return grids.table_cells(grids.page_layout(fixtures.card_words(spark))).where(F.col("method") == grids.GROUPS).select("page", "table_id", "row", "col", "text")
 
 
 @query
 def contract_violations(spark, sf):
-    return layout.contract_violations(fixtures.cells(spark))
+    return contracts.cell_violations(bridge.table_cells(spark, sf))
+
+
+@query
+def cell_lookup(spark, sf):
+    """The first value of each table, and a cell that no table has."""
+    cells = bridge.table_cells(spark, sf)
+    return contracts.cell_at(cells, cells.select("table_id").distinct().selectExpr("table_id", "1 AS row", "explode(array(1, 9)) AS col"))
+
+
+@query
+def context_violations(spark, sf):
+    return contracts.context_violations(bridge.contexts(spark, sf))
+
+
+@query
+def context_resolved(spark, sf):
+    return contracts.resolved(bridge.contexts(spark, sf)).select("context_id", "is_resolved")
+
+
+@query
+def provenance_violations(spark, sf):
+    return contracts.provenance_violations(bridge.contexts(spark, sf), bridge.table_cells(spark, sf))
 
 
 @query
 def period_header_assignment(spark, sf):
-    rows = []
-    for name, positions, columns in fixtures.HEADERS:
-        found, unique = assign_in_order(positions, columns, 30.0)
-        rows += [(name, i, j, unique) for i, j in enumerate(found)]
-    return spark.createDataFrame(rows, "name string, token int, column int, unique boolean")
+    """Tokens of each order's page, a place for each line item, to three columns."""
+    rows = bridge.placed(spark, sf).select(F.col("l_orderkey").alias("page"), "row", (150.0 + F.col("l_partkey") % 300).alias("at"))
+
+    def read(page, tokens):
+        found, unique = assign_in_order([at for _, at in sorted(tokens, key=lambda t: t[1])], [200.0, 300.0, 400.0], 30.0)
+        return [(page, n, column, unique) for n, column in enumerate(found)]
+
+    return each_page(rows, ["row"], read, "page long, token int, column int, unique boolean")
 
 
 @query
 def provider_response_parse(spark, sf):
-    return spark.createDataFrame([(r,) for r in fixtures.RESPONSES], "response string").withColumn("r", parsed_response(F.col("response"))).select("response", "r.*")
+    """An answer for each document, some of them malformed."""
+    response = F.expr(
+        "CASE WHEN doc_id % 17 = 0 THEN 'not json' WHEN doc_id % 19 = 0 THEN '[1, 2]' WHEN doc_id % 23 <> 0 THEN concat('{\"relationship\": \"', element_at(array('corroborates ', 'CONTRADICTS', 'maybe', 'Unrelated', 'uncertain', 'reconcilable'), int(doc_id % 6) + 1),"
+        " '\", \"confidence\": ', CASE WHEN doc_id % 13 = 0 THEN '\"high\"' ELSE concat(doc_id % 3, '.', doc_id % 10) END, ', \"reason\": \"', CASE WHEN doc_id % 5 <> 0 THEN concat('r', doc_id) ELSE '' END, '\"}') END"
+    )
+    return bridge.table(spark, sf, "documents").select("doc_id", parsed_response(response).alias("r")).select("doc_id", "r.*")
 
 
 QUERIES = {k.removesuffix("_query"): v for k, v in QUERIES.items()}

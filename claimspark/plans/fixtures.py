@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 PAGE_TEXTS = (
-    ("delhivery-annual-report-fy24.pdf", "Highlights\nRevenue from operations on standalone basis for FY24 stood at ₹74,540.82 million as against ₹66,586.61 million for FY23. Whereas the loss for FY24 stood at ₹1,679.68 million as against ₹8,123.02 million for FY23.\n"
-     "Revenue from operations on consolidated basis for FY24 stood at ₹81,415.38 million as against ₹72,253.01 million for FY23. Whereas the loss for FY24 stood at ₹2,491.86 million as against ₹10,077.79 million for FY23."),
-    ("imf-article-iv.pdf", "Real GDP growth moderated to 6.5 per cent in 2024-25, the Second Advance Estimates say.\nIn FY2024/25, private consumption growth was buoyant at 7.2 percent. Headline inflation has declined to 1.5 percent in September 2025, down from 4.6 percent."),
-    ("survey.pdf", "The economy did well: real GDP grew by 6.4 percent in FY2024/25, first advance estimates. Unemployment is expected to fall to 4.9 per cent in March 2026. Core inflation had eased slowly to 3.8 percent."),
-    ("delhivery-presentation.pdf", "Revenue from services stood at approximately ₹8,142 cr for FY24\nnet loss for FY24 was ₹249 cr\nThe loss for the year was INR 2,491.86 million"),
-    ("acme-prospectus.pdf", "Kalpana Jaisingh Morparia — Non-Executive Nominee Director. Mr. Suvir Suren Sujan, Non-Executive Director, resigned from the Board with effect from August 24, 2023. Ms. Anna Colleran ceased to be a Director with effect from September 27, 2023."),
-    ("acme-board.pdf", "Ms. Aruna Rao was appointed as Non-Executive Independent Director for a period of 5 years with effect from July 01, 2024. The committee was appointed as advisor."),
+    ("northmoor-annual-report-fy24.pdf", "Summary\nRevenue from operations on standalone basis for FY24 stood at ₹51,200.40 million as against ₹44,310.75 million for FY23. The loss for FY24 stood at ₹910.25 million as against ₹1,450.60 million for FY23.\n"
+     "Revenue from operations on consolidated basis for FY24 stood at ₹63,900.10 million as against ₹55,120.35 million for FY23. The loss for FY24 stood at ₹1,230.80 million as against ₹2,040.15 million for FY23."),
+    ("country-note.pdf", "Real GDP growth moderated to 5.9 per cent in 2023-24, by second advance figures.\nIn FY2023/24, private consumption growth was steady at 4.1 percent. Headline inflation had come down to 2.3 percent in March 2024, after a long rise."),
+    ("outlook.pdf", "Trade was brisk: real GDP grew by 5.8 percent in FY2023/24, a first advance figure. Unemployment is projected to fall to 6.2 per cent in June 2025. Core inflation had eased again to 3.1 percent."),
+    ("northmoor-presentation.pdf", "Revenue from services stood at approximately ₹6,390 cr for FY24\nnet loss for FY24 was ₹123 cr\nThe loss for the year was INR 1,230.80 million"),
+    ("harbour-prospectus.pdf", "Ines Maria Falk — Non-Executive Nominee Director; Mr. Tomas Ruiz, Non-Executive Director, resigned from the Board with effect from June 12, 2023; Ms. Dora Lind ceased to be a Director with effect from October 03, 2023."),
+    ("harbour-board.pdf", "Ms. Vera Holm was appointed as Non-Executive Independent Director for a period of 5 years with effect from April 02, 2024. The agency was appointed as monitor."),
     ("blank.pdf", " \n "),
 )
 
@@ -21,32 +21,18 @@ def pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "document_id string, filename string, page_number int, raw_text string, has_tables boolean")
 
 
+def _word(page: int, n: int, text: str, x0: float, y0: float, wide: float = 6.0, high: float = 9.0) -> tuple:
+    return (page, x0, y0, x0 + wide * len(text), y0 + high, text, n)
+
+
+WORDS = "page long, x0 double, y0 double, x1 double, y1 double, text string, word_no int"
+
+
 def card_words(spark: SparkSession) -> DataFrame:
+    """Two cards of one label with headings at their left, a card of another label, and prose."""
+    cards = (("NORTH", "NET SALES", "1,200", 40.0), ("SOUTH", "NET SALES", "950.5", 140.0), ("WEST", "ORDER BOOK", "88", 240.0))
     rows = []
-    for k, (label, value) in enumerate((("REVENUE", "1,200"), ("NET PROFIT", "85.5"), ("NOTES", "see below"))):
-        for n, (text, y) in enumerate(((label, 40.0), (value, 56.0))):
-            rows.append((1, 30.0 + 150 * k, y, 30.0 + 150 * k + 6 * len(text), y + 9, text, 2 * k + n))
-    return spark.createDataFrame(rows, "page long, x0 double, y0 double, x1 double, y1 double, text string, word_no int")
-
-
-def cells(spark: SparkSession) -> DataFrame:
-    good = [("ok", r, c, 1, 1) for r in range(2) for c in range(3)] + [("ok", 2, 0, 1, 3)]
-    bad = [("twice", 0, 0, 1, 1), ("twice", 0, 0, 1, 1), ("over", 0, 0, 2, 2), ("over", 1, 1, 1, 1), ("span", 0, 0, 0, 1), ("span", -1, 0, 1, 1)]
-    return spark.createDataFrame(good + bad, "table_id string, row int, col int, row_span int, col_span int")
-
-
-HEADERS = (
-    ("equal", [200.0, 300.0], [205.0, 300.0]),
-    ("one_missing", [305.0], [200.0, 300.0]),
-    ("order", [300.0, 200.0], [200.0, 300.0]),
-    ("ambiguous", [250.0], [240.0, 260.0]),
-    ("out_of_reach", [100.0], [200.0]),
-)
-RESPONSES = (
-    '{"relationship": "corroborates ", "confidence": 0.9, "reason": "same"}',
-    '{"relationship": "maybe", "confidence": "high", "reason": ""}',
-    '{"relationship": "CONTRADICTS", "confidence": 7}',
-    "[1, 2]",
-    "not json",
-    None,
-)
+    for heading, label, value, y in cards:
+        one, two = label.split()
+        rows += [_word(1, len(rows), heading, 30.0, y), _word(1, len(rows) + 1, one, 150.0, y), _word(1, len(rows) + 2, two, 174.0, y), _word(1, len(rows) + 3, value, 150.0, y + 16)]
+    return spark.createDataFrame([*rows, _word(1, 99, "prose", 30.0, 400.0)], WORDS)

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from claimspark.operators.evaluation import claim_key, pair_key
+from claimspark.operators.facts import value_text
+
 PAGES = "document_id string, filename string, page_number int, raw_text string, has_tables boolean"
 
 
@@ -17,10 +20,6 @@ def document_id(path: str) -> str:
     return hashlib.md5(path.encode()).hexdigest()[:12]
 
 
-def parquet_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGES).parquet(path)
-
-
 def discovered(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length and modificationTime of files below a folder; no file is opened. An empty folder is an error."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
@@ -73,6 +72,12 @@ class PdfPages(DataSource):
 
 
 def pdf_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Pages of files, one partition each. A file that isn't there is an error before any is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(conf).exists(at):
+            raise FileNotFoundError(p)
     spark.dataSource.register(PdfPages)
     return spark.read.format("pdf_pages").option("paths", json.dumps(paths)).load()
 
@@ -87,13 +92,20 @@ GOLD = "items array<struct<id:string,source:string,subject:string,predicate:stri
 
 
 def gold_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GOLD).option("multiLine", True).json(path).select(F.explode("items").alias("i")).select("i.*")
+    """Items of a gold file with seq, their order; values as texts, or as numbers where they read as such."""
+    items = spark.read.schema(GOLD).option("multiLine", True).json(path).select(F.posexplode("items").alias("seq", "i")).select("seq", "i.*")
+    return items.withColumn("value_num", F.when(F.trim("value").rlike(r"^[+-]?\d+(\.\d+)?$"), F.col("value").try_cast("double"))).withColumnRenamed("value", "value_raw")
 
 
-def append_results(results: DataFrame, path: str, keep: int = 20) -> None:
-    """One more row of results with a time; a reader takes the latest ``keep``."""
-    results.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+_CLAIM = "struct<subject:string,predicate:string,value:string,unit:string>"
+PAIRS = f"items array<struct<id:string,expectation:string,expected:string,fact_a:{_CLAIM},fact_b:{_CLAIM}>>"
 
 
-def latest_results(spark: SparkSession, path: str, keep: int = 20) -> DataFrame:
-    return spark.read.json(path).orderBy(F.desc("at")).limit(keep)
+def gold_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """id, pair, expectation and expected of a gold file's items; of items with one pair the last holds."""
+    items = spark.read.schema(PAIRS).option("multiLine", True).json(path).select(F.posexplode("items").alias("seq", "i")).select("seq", "i.*")
+    number = lambda v: F.when(F.trim(v).rlike(r"^[+-]?\d+(\.\d+)?$"), v.try_cast("double"))
+    key = lambda f: claim_key(f["subject"], f["predicate"], value_text(number(f["value"]), f["value"]), f["unit"])
+    pairs = items.withColumn("pair", pair_key(key(F.col("fact_a")), key(F.col("fact_b"))))
+    last = F.max(F.struct("seq", "id", "expectation", "expected")).alias("i")
+    return pairs.groupBy("pair").agg(last).select("i.id", "pair", "i.expectation", "i.expected")
