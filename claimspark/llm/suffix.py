@@ -40,9 +40,9 @@ LENGTH, GRID = 400, 32
 #: a hundred is shorter.
 STAGE_LENGTH = 240
 #: Symbols of a shard that one suffix array is made of, about; a core's cells stay together.
-SHARD = 1 << 20
-#: Cells of a core that stay together at most: as many as make a shard.
-HOT = SHARD // (2 * GRID)
+SHARD = 1 << 18
+#: Cells of a core that stay together at most; they make up to twice a shard.
+HOT = 8192
 
 
 def keyed(docs: DataFrame) -> DataFrame:
