@@ -73,6 +73,35 @@ def test_classifiers_on_held_out_rows(spark, docs_of, write_tables, query, label
     assert by[0]["score"] == by[302]["score"]
 
 
+def test_quality_is_learned_from_all_pairs_of_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.6).astype(int)
+    x = np.clip(rng.random((400, quality.N_FEATURES)) + 0.1 * y[:, None] * (np.arange(quality.N_FEATURES) < 3), 0, 1)
+    model = quality.learn(spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "f array<double>, y int").repartition(3))
+    wide = quality.expand(x)
+    pairs = (wide[y == 1][:, None] - wide[y == 0][None]).reshape(-1, wide.shape[1])
+    w, ridge = np.zeros(wide.shape[1]), quality.RIDGE / 20
+    for _ in range(30):
+        lost = 1 / (1 + np.exp(pairs @ w))
+        hess = (pairs * (lost * (1 - lost))[:, None]).T @ pairs / len(pairs) + ridge * np.eye(len(w))
+        w += np.linalg.solve(hess, pairs.T @ lost / len(pairs) - ridge * w)
+    assert np.abs(wide @ (model.weights - w) - np.mean(wide @ (model.weights - w))).max() < 1e-3
+    assert model.cut == pytest.approx(np.quantile(model.worths(x), np.mean(y == 0)), abs=1e-12)
+
+
+def test_quality_threshold_counts_every_labelled_row(spark):
+    rng = np.random.default_rng(6)
+    n = 13_000
+    y = (rng.random(n) < 0.7).astype(int)
+    x = np.round(np.clip(rng.random((n, quality.N_FEATURES)) * 0.5 + 0.3 * y[:, None], 0, 1), 2)
+    x[: n // 2] = x[0]  # many of one worth
+    own = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "doc_id long, f array<double>")
+    labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(y)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit_features(own, labels)
+    used = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n)])
+    assert used.sum() > 10_000 and model.cut == pytest.approx(np.quantile(model.worths(x[used]), np.mean(y[used] == 0)), abs=1e-12)
+
+
 def test_toxicity_scores_like_a_plain_version(spark, docs_of):
     """The features of texts, by edit distance with every term instead of the automaton."""
     rng = random.Random(4)
