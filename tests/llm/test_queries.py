@@ -191,6 +191,25 @@ def test_passages_with_edits(docs_of):
     assert all(abs(a - b) == 1 for a, b in map(sorted, linked))
 
 
+@pytest.mark.parametrize("held, least", [(64, 20), (12, 18)])
+def test_passages_whose_anchors_share_less(docs_of, monkeypatch, held, least):
+    """Pairs that share 54 words with an edit in every nine, each part of which twenty other texts hold."""
+    monkeypatch.setattr(chains, "HELD", held)
+    rng = random.Random(15)
+    texts, wanted = [], set()
+    for _ in range(20):
+        passage = prose(rng, 54).split()
+        edited = [f"e{rng.randrange(9999)}" if i % 9 == 8 else w for i, w in enumerate(passage)]
+        wanted.add(frozenset((len(texts), len(texts) + 1)))
+        texts += [f"{prose(rng, 50)} {' '.join(p)} {prose(rng, 50)}" for p in (passage, edited)]
+        for part in range(6):
+            texts += [f"{prose(rng, 40)} {' '.join(passage[9 * part : 9 * part + 8])} {prose(rng, 40)}" for _ in range(20)]
+    rows = chains.repeated_passages(docs_of(texts)).collect()
+    linked = {frozenset((r["doc_id"], r["with_id"])) for r in rows}
+    assert linked <= wanted and len(linked) >= least
+    assert all(r["class_id"] == min(r["doc_id"], r["with_id"]) for r in rows)
+
+
 def test_passages_of_odd_rows(docs_of):
     rng = random.Random(7)
     passage, twice = prose(rng, 60), prose(rng, 50)
