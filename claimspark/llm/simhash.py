@@ -44,6 +44,8 @@ STAGE_SHINGLE, SIMILAR, STAGE_RADIUS = 5, 0.8, 22
 #: Of the order of hashes: those that the most documents hold come last, so many at most (8 bytes each go to every task). A
 #: task names what a share of its documents holds. Whatever they are, results are the same; only their cost differs.
 FREQUENT, NAMED, COUNTED = 1 << 16, 1 / 2000, 1 << 21
+#: Hashes that a task holds before they are counted; only a bound on memory.
+MERGED = 1 << 18
 #: Fingerprints of a block that one task compares with as many others.
 TILE = 2048
 #: Hashes that are counted at once; only a bound on memory.
@@ -362,24 +364,25 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merge() -> None:
         nonlocal known, counts, held, size
-        every = np.concatenate([known, *held])
-        times = np.concatenate([counts, np.ones(size, np.int64)])
-        order = np.argsort(every, kind="stable")
-        every, times = every[order], times[order]
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-        known, counts = every[first], np.add.reduceat(times, first) if len(first) else times
+        new, times = np.unique(np.concatenate(held) if held else known[:0], return_counts=True)
+        held, size = [], 0
+        at = np.searchsorted(known, new)
+        old = np.zeros(len(new), bool)
+        inside = at < len(known)
+        old[inside] = known[at[inside]] == new[inside]
+        counts[at[old]] += times[old]
+        known, counts = np.insert(known, at[~old], new[~old]), np.insert(counts, at[~old], times[~old])
         if len(known) > COUNTED:  # those that fewest documents hold are forgotten
             most = np.argpartition(counts, -COUNTED // 2)[-COUNTED // 2 :]
             most.sort()
             known, counts = known[most], counts[most]
-        held, size = [], 0
 
     for b in batches:
         for t in b.column(0).to_pylist():
             held.append(shingle_set(t))
             size += len(held[-1])
             docs += 1
-            if size >= COUNTED:
+            if size >= MERGED:
                 merge()
     merge()
     often = counts >= max(2, docs * NAMED)

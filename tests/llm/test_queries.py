@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -236,6 +238,16 @@ def test_mixing_of_clashing_names_and_rare_domains(spark, docs_of):
         mixing.solve(spark.createDataFrame([(10, [1.0, 0.0])], "n_tokens long, p array<double>"), np.array([0.5, 0.5]))
 
 
+def test_counting_shingles_takes_little_memory():
+    texts = [" ".join(f"w{k}x{i}" for i in range(50_000)) for k in range(40)] + [" ".join(f"w1x{i}" for i in range(40_000))]
+    tracemalloc.start()
+    (got,) = simhash._often(iter([pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 39_996 and set(got.column(1).to_pylist()) == {2}
+    assert peak < 110e6
+
+
 # stages
 def tables(spark, docs_of, write_tables, texts, ids=None, items=("none such",)):
     rng = random.Random(9)
