@@ -41,6 +41,10 @@ def pair_shares(text: str | None) -> tuple[np.ndarray, int]:
     return np.sqrt(np.bincount(pairs, minlength=BUCKETS) / len(pairs)).astype(np.float32), words
 
 
+#: Texts whose shares are held at once; only a bound on memory.
+BLOCK = 256
+
+
 @dataclass
 class Classifier:
     domains: list[str]
@@ -52,6 +56,16 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def described(texts: list[str | None], model: Classifier) -> tuple[list[int], np.ndarray]:
+    """Numbers of words and posteriors of texts, a block at a time."""
+    n, p = [], [np.zeros((0, len(model.domains)))]
+    for at in range(0, len(texts), BLOCK):
+        found = [pair_shares(t) for t in texts[at : at + BLOCK]]
+        n += [k for _, k in found]
+        p.append(model.posteriors(np.array([x for x, _ in found], np.float64)))
+    return n, np.concatenate(p)
+
+
 def learn(x: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 300, ridge: float = 1e-4) -> Classifier:
     """Multinomial logistic regression by accelerated gradient. With no rows, posteriors are equal."""
     k, n = len(domains), len(x)
@@ -93,9 +107,8 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens:long,p:array<double>>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [pair_shares(t) for t in texts.to_pylist()]
-        p = model.posteriors(np.array([x for x, _ in found], np.float64).reshape(-1, BUCKETS))
-        return pa.array([{"n_tokens": n, "p": q} for (_, n), q in zip(found, p.tolist(), strict=True)], kind)
+        words, p = described(texts.to_pylist(), model)
+        return pa.array([{"n_tokens": n, "p": q} for n, q in zip(words, p.tolist(), strict=True)], kind)
 
     return docs.select("*", of("text").alias("__of")).select(*docs.columns, F.col("__of.n_tokens").alias("n_tokens"), F.col("__of.p").alias("p"))
 
@@ -188,10 +201,9 @@ def with_rates(docs: DataFrame, model: Classifier, targets: dict[str, float], co
 
     @F.arrow_udf("struct<n_tokens:long,domain:string,rate:double>")
     def final(texts: pa.Array) -> pa.Array:
-        found = [pair_shares(t) for t in texts.to_pylist()]
-        p = model.posteriors(np.array([x for x, _ in found], np.float64).reshape(-1, BUCKETS))
+        words, p = described(texts.to_pylist(), model)
         rates = rates_after(p, steps)[0].tolist()
-        return pa.array([{"n_tokens": n, "domain": model.domains[i], "rate": r} for (_, n), i, r in zip(found, p.argmax(axis=1), rates, strict=True)], kind)
+        return pa.array([{"n_tokens": n, "domain": model.domains[i], "rate": r} for n, i, r in zip(words, p.argmax(axis=1), rates, strict=True)], kind)
 
     return docs.select("*", final("text").alias("__final")).select(*docs.columns, F.col("__final.n_tokens").alias("n_tokens"), F.col("__final.domain").alias("domain"), F.col("__final.rate").alias(column))
 

@@ -238,6 +238,17 @@ def test_mixing_of_clashing_names_and_rare_domains(spark, docs_of):
         mixing.solve(spark.createDataFrame([(10, [1.0, 0.0])], "n_tokens long, p array<double>"), np.array([0.5, 0.5]))
 
 
+def test_shares_are_held_a_block_at_a_time(monkeypatch):
+    rng = random.Random(16)
+    model = mixing.Classifier(["a", "b"], np.random.default_rng(1).normal(size=(mixing.BUCKETS + 1, 2)))
+    texts = [None, "", *(prose(rng, 5) for _ in range(600))]
+    x, n = zip(*map(mixing.pair_shares, texts))
+    want, sizes, plain = model.posteriors(np.array(x, np.float64)), [], mixing.Classifier.posteriors
+    monkeypatch.setattr(mixing.Classifier, "posteriors", lambda self, x: sizes.append(len(x)) or plain(self, x))
+    words, p = mixing.described(texts, model)
+    assert words == list(n) and np.abs(p - want).max() < 1e-12 and max(sizes) <= mixing.BLOCK and mixing.described([], model)[1].shape == (0, 2)
+
+
 def test_counting_shingles_takes_little_memory():
     texts = [" ".join(f"w{k}x{i}" for i in range(50_000)) for k in range(40)] + [" ".join(f"w1x{i}" for i in range(40_000))]
     tracemalloc.start()
