@@ -3,7 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from claimspark.llm import simhash
+from claimspark.llm import common, simhash
+from claimspark.llm.components import components
 
 
 def brute_fingerprint(text):
@@ -123,3 +124,18 @@ def test_stage_links_sets_of_similarity_over_four_fifths(spark, docs_of):
     kept = simhash.stage(spark, docs_of(texts), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in range(len(texts))})
     assert len({root(i) for i in range(len(texts))}) < len(texts) - 60
+
+
+def test_intermediate_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in files.mkString("\n").split("\n") if "shuffle_" in x}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = spark.conf.get(setting), shuffles()
+    links = spark.range(400).selectExpr("id AS a", "id DIV 7 AS b").repartition(5, "a")
+    table = common.written(links.groupBy("b").count(), "counted")
+    roots = components(links)
+    assert not shuffles() - held
+    assert table.count() == 58 and {r["root"] for r in roots.collect()} == {0}
+    assert spark.conf.get(setting) == before
