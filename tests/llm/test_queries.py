@@ -212,6 +212,27 @@ def test_passages_whose_anchors_share_less(docs_of, monkeypatch, held, least):
     assert all(r["class_id"] == min(r["doc_id"], r["with_id"]) for r in rows)
 
 
+def test_repeated_words_share_one_long_passage(spark, docs_of):
+    rng = random.Random(43)
+    line = [f"r{i}" for i in range(8)]
+    own = lambda: prose(rng, 60).split()
+    for period in (["is", "onhe"], ["a"], line):
+        while not chains.seeds(grams.word_hashes(" ".join(period * 40)))[0].size:
+            period = [w + "x" for w in period]
+        times = 320 // len(period)
+        texts = [" ".join(own() + period * n + own()) for n in [times] * 4 + [times // 2]]
+        rows = chains.repeated_passages(docs_of(texts, [1 + i for i in range(5)])).collect()
+        between = [r for r in rows if r["doc_id"] != r["with_id"]]
+        assert len(between) <= 40, (period, len(between))
+        assert len({r["class_id"] for r in rows}) == 1
+        linked = {r["doc_id"] for r in between}
+        assert len(linked) >= 4
+        for d in linked:  # the repeated words are covered, all but a few at their ends
+            covered = {w for r in between if r["doc_id"] == d for w in range(r["start_word"], r["end_word"])}
+            n = len(period) * (times // 2 if d == 5 else times)
+            assert len(covered & set(range(60, 60 + n))) >= n - 40, (period, d)
+
+
 def test_passages_of_odd_rows(docs_of):
     rng = random.Random(7)
     passage, twice = prose(rng, 60), prose(rng, 50)
