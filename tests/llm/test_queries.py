@@ -1,6 +1,7 @@
 """Whole queries and stages: against plain versions or held-out rows, and on nulls, ties, repeats, clashing names and empty tables."""
 
 import hashlib
+import itertools
 import random
 import tracemalloc
 import zlib
@@ -233,6 +234,99 @@ def test_repeated_words_share_one_long_passage(spark, docs_of):
             assert len(covered & set(range(60, 60 + n))) >= n - 40, (period, d)
 
 
+def test_texts_are_read_three_times_and_seeds_not_stored(spark, docs_of, monkeypatch):
+    """For seeds, for ids, and for the words of one round, as anchors connect all; copies are counted without reading them again."""
+    names, own = [], chains.written
+    monkeypatch.setattr(chains, "written", lambda df, name: names.append(name) or own(df, name))
+    rng = random.Random(44)
+    passage = prose(rng, 60)
+    texts = [f"{passage} {prose(rng, 20)}", f"{prose(rng, 20)} {passage}", passage, passage, passage]
+    docs = docs_of(texts, [0, 1, 2, 3, 3]).select("doc_id", "text")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = chains.repeated_passages(docs.mapInArrow(counted, docs.schema)).collect()
+    assert {(r["doc_id"], r["with_id"]) for r in rows} >= {(3, 2)} and {r["class_id"] for r in rows} == {0}
+    assert [r["end_word"] for r in rows if r["doc_id"] == 3] == [60]
+    assert read.value <= 3 * len(texts) and "places" not in names
+
+
+def test_anchors_of_sorted_places_like_plain_version():
+    rng = random.Random(45)
+    for _ in range(200):
+        rows = []
+        for seed in range(rng.randrange(1, 6)):
+            for t in rng.sample(range(5), rng.randrange(1, 4)):
+                size, step, at = rng.randrange(1, 5), rng.randrange(1, 40), rng.randrange(99)
+                places = [(seed, t, at + i * step, 64 * size + step * (size > 1) if not i else -64 * i - step) for i in range(size)]
+                rows += places * rng.choice([1, 1, 3])  # copies
+        rows.sort(key=lambda r: r[:3])
+        wanted = []
+        for seed in sorted({r[0] for r in rows}):
+            group = sorted({r for r in rows if r[0] == seed})
+            _, a, first, a_run = group[0]
+            for _, t, at, run in group if len(group) > 1 else []:
+                i, step = divmod(-run, 64)
+                same = t != a and run < 0 and a_run >= 128 and a_run % 64 == step
+                wanted.append((seed, t, at, a, first + i % (a_run // 64) * step if same else first))
+        cuts = sorted(rng.sample(range(len(rows) + 1), min(len(rows), rng.randrange(4))))
+        batches = []
+        for s, e in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[s:e]], k) for i, k in enumerate(kinds)], ["seed", "t", "at", "run"]))
+        got = [tuple(r.values()) for b in chains._matched(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(wanted)
+
+
+def test_seeds_and_words_of_many_texts_like_those_of_one():
+    rng = random.Random(46)
+    texts = [rng.choice([None, "", " ,. ", "é", "go " * 60, f"{'a b ' * 30}{prose(rng, 50)}", prose(rng, rng.randrange(36, 90)), prose(rng, 300)]) for _ in range(300)]
+    for most in (1, 500, 1 << 17):
+        got = [words[s : e - 1].tolist() for _, words, begin in grams.words_of_texts(texts, most) for s, e in itertools.pairwise(begin)]
+        assert got == [grams.word_hashes(t).tolist() for t in texts]
+    found = chains._seeds_of(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["t", "text"])]))
+    got = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+    wanted = []
+    for i, words in enumerate(map(grams.word_hashes, texts)):
+        hashes, at = chains.seeds(words) if len(words) >= chains.LEAST else ([], [])
+        nth = chains.runs(hashes, at, chains.LEAST - 1, words=words) if len(at) else []
+        wanted += [(int(h.view(np.int64)), i, int(x), int(n)) for h, x, n in zip(hashes, at, nth, strict=True)]
+    assert got == sorted(wanted) and len({i for _, i, _, _ in wanted}) > 100
+
+
+def test_gaps_of_a_passage_like_plain_version():
+    """Agreeing words between seeds on one diagonal and on several, gap by gap."""
+    rng = random.Random(47)
+    for case in range(200):
+        a = [rng.randrange(1 << 40) for _ in range(200)]
+        b = list(a)
+        for _ in range(rng.randrange(4) * 5):
+            b[rng.randrange(200)] = rng.randrange(1 << 40)
+        xs = sorted(rng.sample(range(20, 190), rng.randrange(2, 9)))
+        shift = 0
+        if case % 2:  # a word more in b, between two seeds
+            b.insert(xs[0] + 1, 7)
+            shift = 1
+        ys = [xs[0], *(x + shift for x in xs[1:])]
+        agree = 0
+        split = False
+        for x, y, u, v in zip(xs[:-1], ys[:-1], xs[1:], ys[1:], strict=True):
+            n = chains.common_length(a[x:u], b[y:v])
+            split |= n < 0.5 * max(u - x, v - y)
+            agree += n
+        if split:
+            continue
+        u, v = (np.array(z, np.uint64) for z in (a, b))
+        right = chains._extended(u[xs[-1] :][: chains.KMER + chains.MARGIN], v[ys[-1] :][: chains.KMER + chains.MARGIN])
+        left = chains._extended(u[: xs[0]][::-1][: chains.MARGIN], v[: ys[0]][::-1][: chains.MARGIN])
+        found = chains.passages(u, v, np.array(xs, "<i4"), np.array(ys, "<i4"), least=0, identity=0)
+        assert found == [(xs[0] - left[0], xs[-1] + right[0], ys[0] - left[0], ys[-1] + right[0], agree + left[1] + right[1])]
+
+
 def test_passages_of_odd_rows(docs_of):
     rng = random.Random(7)
     passage, twice = prose(rng, 60), prose(rng, 50)
