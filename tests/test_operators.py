@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,20 @@ def test_store_and_stream(spark, tmp_path):
     assert first["documents"] == 2 and first["facts"] >= 6 and first["comparisons"] > 0
     store.save("facts", store.read("facts"))
     assert store.health() == first
+
+
+def test_rules_are_linear_and_find_what_their_patterns_find():
+    """Long texts without punctuation, and short ones where places to begin compete."""
+    from claimspark.operators.extraction import RULES
+
+    short = (
+        "a real GDP grew by 5.5 per cent xreal GDP grew by 6 percent in FY24", " 9 real GDP growth stood at 7% ", "x revenue from y revenue was ₹ 1 crore revenue from a b stood at INR 3 mn. revenue from was INR 2 mn",
+        "Mr. Al Bo, Non-Executive Director ceased to be a Director with effect from May 01, 2024 An, Director, resigned from the Board with effect from May 02, 2024", "McDonald Van de Holm Ann Lee — Executive Director",
+    )
+    for text in short:
+        for r in RULES:
+            assert [m.span() for m in r.find(r.pattern, text)] == [m.span() for m in r.pattern.finditer(text)], (r.name, text)
+    began = time.process_time()
+    for word in ("alpha ", "Alpha ", "real ", "revenue from "):
+        assert not claims_of(word * 40_000, "x.pdf")
+    assert time.process_time() - began < 20
