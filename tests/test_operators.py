@@ -172,3 +172,13 @@ def test_rules_are_linear_and_find_what_their_patterns_find():
     for word in ("alpha ", "Alpha ", "real ", "revenue from "):
         assert not claims_of(word * 40_000, "x.pdf")
     assert time.process_time() - began < 20
+
+
+def test_scores_are_counted_once(spark):
+    """A filter on scores repeats no counting; letters, digits and marks beyond ASCII count as such."""
+    texts = ("1 2 3\n٤ 5 6", "İNR Rſ laKh mıllioń", "Über Uns\nÄPFEL UND\näpfel und", "gdṕ pat_ pat", "a\x1cb\x85c")
+    rows = score_pages(spark.createDataFrame([(str(n), t, False) for n, t in enumerate(texts)], "document_id string, raw_text string, has_tables boolean"))
+    got = {r["document_id"]: r for r in rows.collect()}
+    assert got["0"]["tabular_lines"] == 2 and got["1"]["currency_count"] == 3 and got["2"]["heading_score"] == 0.6 and got["3"]["keyword_matches"] == ["pat"]
+    plan = rows.where("is_candidate").select(F.explode("keyword_matches"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
