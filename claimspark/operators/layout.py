@@ -6,17 +6,21 @@ one line of it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from statistics import median
+from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimspark.functions.text import collapsed, stripped
-from claimspark.operators.geometry import BREAK_HEIGHT, BREAK_PITCH, MARKERS, NUMERIC, PERIOD, PLACEHOLDERS, clusters_of, lines_of, numeric, placeholder
-from claimspark.operators.streams import each_page
+from claimspark.functions.text import stripped
+from claimspark.operators import chunks
+from claimspark.operators.geometry import BREAK_HEIGHT, BREAK_PITCH, MARKERS, NUMERIC, PERIOD, PLACEHOLDERS
+from claimspark.operators.streams import each_chunk
+
+ANCHORS = "page long, anchor long, edge double, lines long"
+GRID = "page long, line long, word_no int, anchor long, text string"
 
 
 def token_class(text: Column) -> Column:
@@ -31,7 +35,7 @@ def token_class(text: Column) -> Column:
 
 def valid_words(words: DataFrame) -> DataFrame:
     """Words whose box has four ordered numbers and some height, and whose text isn't blank."""
-    return words.where((F.col("x1") >= F.col("x0")) & (F.col("y1") > F.col("y0")) & (collapsed(F.col("text")) != ""))
+    return words.where((F.col("x1") >= F.col("x0")) & (F.col("y1") > F.col("y0")) & F.col("text").rlike(r"(?U)\S"))
 
 
 def word_lines(words: DataFrame, share: float = 0.45) -> DataFrame:
@@ -41,15 +45,14 @@ def word_lines(words: DataFrame, share: float = 0.45) -> DataFrame:
     moves that mean; else it begins a line. Lines are numbered by their final means.
     """
 
-    def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
-        height = median(r[4] - r[2] for r in rows)
-        items = [((x0, y0, x1, y1), (text, n)) for n, x0, y0, x1, y1, text in rows]
-        for k, line in enumerate(lines_of(items, max(1.0, share * height))):
-            yield from ((page, *box, text, n, height, k) for box, (text, n) in line)
+    return of_words(words, [partial(chunks.with_lines, share=share)], "page long, x0 double, y0 double, x1 double, y1 double, text string, word_no int, height double, line long")
+
 
+def of_words(words: DataFrame, steps: list[Callable[[dict], dict]], schema: str, together: bool = False) -> DataFrame:
+    """What steps of ``chunks`` make of the valid words, in one pass."""
     boxes = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    own = valid_words(words).select(F.col("page").cast("long").alias("page"), "word_no", *boxes, "text")
-    return each_page(own, ["word_no"], read, "page long, x0 double, y0 double, x1 double, y1 double, text string, word_no int, height double, line long")
+    own = valid_words(words).select(F.col("page").cast("long").alias("page"), F.col("word_no").cast("int").alias("word_no"), *boxes, "text")
+    return each_chunk(own, steps, schema, together)
 
 
 def line_cells(lines: DataFrame, least: float = 7.0, times: float = 1.25) -> DataFrame:
@@ -63,25 +66,13 @@ def line_cells(lines: DataFrame, least: float = 7.0, times: float = 1.25) -> Dat
     return step.groupBy("page", "line", "cell").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), text.alias("text"))
 
 
-def _anchors(rows: list[tuple], least: int) -> tuple[list[tuple[float, int]], float]:
-    """(edge, lines) of the right edges that numbers share, and how near a word must be. rows: line, x0, x1, text, height."""
-    reach = max(2.5, 0.45 * rows[0][-1])
-    clusters = clusters_of([(x1, line) for line, _, x1, text, *_ in rows if numeric(text)], reach, key=lambda v: v[0])
-    lines = [len({line for _, line in c}) for c in clusters]
-    return sorted((median(x for x, _ in c), n) for c, n in zip(clusters, lines, strict=True) if n >= least), reach
-
-
-_PLACED = ("line", "x0", "x1", "text", "word_no", "height")
+_PLACED = ("page", "line", "x0", "x1", "text", "word_no", "height")
 
 
 def numeric_anchors(lines: DataFrame, least: int = 3) -> DataFrame:
     """page, anchor, edge and lines: right edges of numbers in clusters, cut where the next is further from the running median
     than max(2.5, 0.45 heights), on ``least`` lines or more."""
-
-    def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
-        return ((page, k, *a) for k, a in enumerate(_anchors(rows, least)[0]))
-
-    return each_page(lines.select("page", *_PLACED), ["line", "x0", "word_no"], read, "page long, anchor long, edge double, lines long")
+    return each_chunk(lines.select(*_PLACED), [partial(chunks.anchors_of, least=least)], ANCHORS)
 
 
 def row_runs(lines: DataFrame) -> DataFrame:
@@ -100,16 +91,7 @@ def row_runs(lines: DataFrame) -> DataFrame:
 def aligned_grid(lines: DataFrame, least: int = 3) -> DataFrame:
     """Cells (page, line, word_no, anchor, text): each number at the nearest anchor, if its right edge is within reach; a
     placeholder within 1.8 times that, unless it stands left of the columns."""
-
-    def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
-        anchors, reach = _anchors(rows, least)
-        for line, x0, x1, text, n, _ in rows if anchors else ():
-            k = min(range(len(anchors)), key=lambda i: abs(anchors[i][0] - x1))
-            away = abs(anchors[k][0] - x1)
-            if numeric(text) and away <= reach or placeholder(text) and away <= 1.8 * reach and x0 >= anchors[0][0] - reach:
-                yield page, line, n, k, text
-
-    return each_page(lines.select("page", *_PLACED), ["line", "x0", "word_no"], read, "page long, line long, word_no int, anchor long, text string")
+    return each_chunk(lines.select(*_PLACED), [partial(chunks.grid_of, least=least)], GRID)
 
 
 def continued(grid: DataFrame, least: int = 2) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+import statistics
 import time
 
 import pytest
@@ -5,14 +7,16 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.compare import number_comparison
 from claimspark.functions.normalize import with_entity, with_period, with_predicate, with_value
-from claimspark.operators import geometry, layout
+from claimspark.operators import chunks, geometry, layout
 from claimspark.operators.extraction import claims_of, entity_name, qualifiers_in
 from claimspark.operators.facts import FACTS, dedupe, ground, normalize
 from claimspark.operators.matching import candidate_pairs, compared
 from claimspark.operators.reasoning import related
 from claimspark.operators.scoring import score_pages
 from claimspark.operators.store import ClaimStore
+from claimspark.plans import catalogue
 from claimspark.plans.fixtures import PAGE_TEXTS
+from claimspark.sources import shared
 from claimspark.sources.pages import PAGES
 from claimspark.streaming.ingest import start
 
@@ -182,3 +186,42 @@ def test_scores_are_counted_once(spark):
     assert got["0"]["tabular_lines"] == 2 and got["1"]["currency_count"] == 3 and got["2"]["heading_score"] == 0.6 and got["3"]["keyword_matches"] == ["pat"]
     plan = rows.where("is_candidate").select(F.explode("keyword_matches"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_lines_in_columns_are_those_of_a_page_at_a_time(spark):
+    """Odd pages: one word, wide gaps, equal boxes, a page longer than a batch; words in any order, some invalid, and a null page."""
+    random.seed(3)
+    rows = [(p, float(x := random.randint(0, 90)), y := random.randint(0, 60) / 4, x + random.randint(1, 30) * 1.0, y + random.choice((2.0, 9.0)), random.choice(("1.5", "7", "Item", "na", "INR 5", "FY24", "£ 3")), n) for p in range(40) for n in range(1 + p % 13 * (30 if p == 12 else 1))]
+    odd = [(1, 5.0, 1.0, 4.0, 9.0, "x", 900), (1, 5.0, 1.0, 6.0, 9.0, "  ", 901), (1, 5.0, 1.0, 6.0, 9.0, None, 902), (None, 5.0, 1.0, 6.0, 9.0, "x", 903)]
+    words = spark.createDataFrame(random.sample(rows, len(rows)) + odd, "page long, x0 double, y0 double, x1 double, y1 double, text string, word_no int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    lines = layout.word_lines(words)
+    got = {(r["page"], r["word_no"]): (r["line"], r["height"]) for r in lines.collect()}
+    anchors = {(r["page"], r["anchor"]): (r["edge"], r["lines"]) for r in layout.numeric_anchors(lines).collect()}
+    cells = sorted(map(tuple, layout.line_cells(lines).select("page", "line", "cell", "x0", "x1", "text").collect()))
+    steps = layout.of_words(words, [chunks.with_lines, chunks.cells_of], "page long, line long, cell long, x0 double, x1 double, text string")
+    assert sorted(map(tuple, steps.collect())) == cells
+    runs = layout.of_words(words, [chunks.with_lines, chunks.runs_of], "page long, line long, top double, run long")
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, layout.row_runs(lines).collect()))
+    grid, wanted = layout.of_words(words, [chunks.with_lines, chunks.grid_of, chunks.continued_of], "page long, line long, columns int"), layout.continued(layout.aligned_grid(lines))
+    assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, wanted.collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, edges = {}, {}
+    for p in range(40):
+        own = sorted((r for r in rows if r[0] == p), key=lambda r: r[6])
+        height = statistics.median(r[4] - r[2] for r in own)
+        placed = [(k, w) for k, line in enumerate(geometry.lines_of([(r[1:5], (r[5], r[6])) for r in own], max(1.0, 0.45 * height))) for w in line]
+        want |= {(p, w[1][1]): (k, height) for k, w in placed}
+        clusters = geometry.clusters_of([(w[0][2], k) for k, w in placed if geometry.numeric(w[1][0])], max(2.5, 0.45 * height), key=lambda v: v[0])
+        found = [c for c in clusters if len({k for _, k in c}) >= 3]
+        edges |= {(p, n): (statistics.median(x for x, _ in c), len({k for _, k in c})) for n, c in enumerate(found)}
+    assert got == want and anchors == edges
+
+
+def test_words_are_dealt_out_once(spark, sf_dir):
+    """One shuffle and sort, of line items; no table of lines is written."""
+    before = dict(shared._WRITTEN)
+    for name in ("word_lines", "line_cells", "numeric_anchors", "aligned_grid", "shared_columns", "row_pitch_runs", "layout_order_ids", "bbox_overlap"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Sort [") == plan.count("MapInArrow") == 1, name
+    assert shared._WRITTEN == before
