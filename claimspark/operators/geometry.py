@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import pairwise
 from statistics import median
 
@@ -19,6 +20,7 @@ PERIOD = r"^(?:(?:FY\s*)?(?:19|20)\d{2}(?:\s*[-/–—]\s*\d{2,4})?|FY\s*\d{2,4}
 # A break is a pitch over the first factor times its neighbours' and over the second times the text height.
 BREAK_PITCH, BREAK_HEIGHT = 3.0, 1.5
 _NUMERIC, _PERIOD, _MARKERS = re.compile(NUMERIC, re.I), re.compile(PERIOD, re.I), re.compile(MARKERS)
+_DECIMAL = re.compile(r"[0-9]+\.[0-9]+")  # numeric, and no period
 
 
 def placeholder(text: str) -> bool:
@@ -29,11 +31,15 @@ def _unmarked(text: str) -> str:
     return _MARKERS.sub("", text.strip()).strip()
 
 
+@lru_cache(4096)  # a page asks for a token's kind many times
 def period(text: str) -> bool:
-    return bool(_PERIOD.match(_unmarked(text.strip().strip("()[]{}.,;:"))))
+    return not _DECIMAL.fullmatch(text) and bool(_PERIOD.match(_unmarked(text.strip().strip("()[]{}.,;:"))))
 
 
+@lru_cache(4096)
 def numeric(text: str) -> bool:
+    if _DECIMAL.fullmatch(text):
+        return True
     bare = _unmarked(text)
     return bool(bare) and not placeholder(bare) and not period(bare) and bool(_NUMERIC.match(bare.replace("−", "-").replace("–", "-")))
 
@@ -42,6 +48,8 @@ def periods_in(words: list[str], near: Callable[[int], bool] = lambda i: True) -
     """(first, end) of the period labels among ``words``, from the left, the longest of up to three words each; ``near(i)``:
     word i may go on in the next."""
     found, i = [], 0
+    if len(words) == 1:
+        return [(0, 1)] if period(words[0]) else []
     while i < len(words):
         wide = next((n for n in (3, 2, 1) if i + n <= len(words) and all(map(near, range(i, i + n - 1))) and period(" ".join(words[i : i + n]))), 0)
         if wide:
@@ -52,10 +60,15 @@ def periods_in(words: list[str], near: Callable[[int], bool] = lambda i: True) -
 
 # boxes ---------------------------------------------------------------------------------------------------------------
 def sound(box: tuple) -> bool:
-    return all(v is not None and math.isfinite(v) for v in box) and box[2] >= box[0] and box[3] >= box[1]
+    x0, y0, x1, y1 = box
+    if x0 is None or y0 is None or x1 is None or y1 is None:
+        return False
+    return math.isfinite(x0) and math.isfinite(y0) and math.isfinite(x1) and math.isfinite(y1) and box[2] >= box[0] and box[3] >= box[1]
 
 
 def around(boxes: list[Box]) -> Box:
+    if len(boxes) == 1:
+        return boxes[0]
     x0, y0, x1, y1 = zip(*boxes, strict=True)
     return min(x0), min(y0), max(x1), max(y1)
 
@@ -93,7 +106,7 @@ def clusters_of(values: list, tolerance: float, key: Callable = lambda v: v) ->
     """Sorted values, cut where the next lies further than the tolerance above the median of the cluster so far."""
     out: list[list] = []
     for v in sorted(values):
-        if out and key(v) - median(map(key, out[-1])) <= tolerance:
+        if out and key(v) - (key(out[-1][len(out[-1]) // 2]) + key(out[-1][(len(out[-1]) - 1) // 2])) / 2 <= tolerance:  # sorted, so the middle
             out[-1].append(v)
         else:
             out.append([v])
@@ -102,22 +115,20 @@ def clusters_of(values: list, tolerance: float, key: Callable = lambda v: v) ->
 
 # lines and rows ------------------------------------------------------------------------------------------------------
 def lines_of(items: list[Item], tolerance: float) -> list[list[Item]]:
-    """Lines from the top, words from the left. A word, by its centre, joins the first line whose mean centre is near."""
+    """Lines from the top, words from the left. A word, by its centre, joins the first line whose mean centre is near: that can
+    only be the last, since centres only grow and an earlier line was out of reach when the last began."""
     groups: list[list[Item]] = []
-    sums: list[float] = []
-    open_from = 0
-    for item in sorted(items, key=lambda w: ((w[0][1] + w[0][3]) / 2, w[0][0])):
-        c = (item[0][1] + item[0][3]) / 2
-        while open_from < len(groups) and c - sums[open_from] / len(groups[open_from]) > tolerance:
-            open_from += 1  # centres only grow, so it stays out of reach
-        at = next((i for i in range(open_from, len(groups)) if abs(c - sums[i] / len(groups[i])) <= tolerance), len(groups))
-        if at == len(groups):
-            groups.append([])
-            sums.append(0.0)
-        groups[at].append(item)
-        sums[at] += c
-    order = sorted(range(len(groups)), key=lambda i: sums[i] / len(groups[i]))
-    return [sorted(groups[i], key=lambda w: w[0][0]) for i in order]
+    total, count = 0.0, 0
+    for c, _, item in sorted([((w[0][1] + w[0][3]) / 2, w[0][0], w) for w in items], key=lambda w: w[:2]):
+        if count and c - total / count <= tolerance:
+            groups[-1].append(item)
+            total, count = total + c, count + 1
+        else:
+            groups.append([item])
+            total, count = 0.0 + c, 1
+    for g in groups:
+        g.sort(key=lambda w: w[0][0])
+    return groups
 
 
 def parts_of(line: list[Item], gap: float) -> list[list[Item]]:
@@ -131,6 +142,8 @@ def parts_of(line: list[Item], gap: float) -> list[list[Item]]:
 
 
 def joined(items: list[Item]) -> Item:
+    if len(items) == 1:
+        return items[0]
     return around([b for b, _ in items]), " ".join(t for _, t in items)
 
 
@@ -146,6 +159,33 @@ def rhythm(tops: list[float], height: float) -> tuple[list[float], set[int]]:
 
 def assign_in_order(positions: list[float], columns: list[float], reach: float) -> tuple[list[int | None], bool]:
     """Tokens to columns, order kept: as many as can be within reach, then the least total distance; and whether the best is unique."""
+    return _nearest(positions, columns, reach) or _by_table(positions, columns, reach)
+
+
+def _nearest(positions: list[float], columns: list[float], reach: float) -> tuple[list[int | None], bool] | None:
+    """Where no token is within reach of two columns and all are in order, each column takes its nearest token. None where that
+    isn't so, where two are as near, or where distances may need rounding."""
+    if any(b - a <= 2 * reach for a, b in pairwise(columns)) or any(b < a for a, b in pairwise(positions)):
+        return None
+    out: list[int | None] = [None] * len(positions)
+    best: dict[int, tuple[float, int]] = {}
+    ties: set[int] = set()
+    for i, p in enumerate(positions):
+        for j, c in enumerate(columns):
+            d = abs(p - c)
+            if d <= reach:
+                if not float(d * 512).is_integer():
+                    return None
+                if j not in best or d <= best[j][0]:
+                    ties.add(j) if j in best and d == best[j][0] else ties.discard(j)
+                    best[j] = (d, i)
+                break
+    for j, (_, i) in best.items():
+        out[i] = j
+    return (out, True) if not ties else None
+
+
+def _by_table(positions: list[float], columns: list[float], reach: float) -> tuple[list[int | None], bool]:
     n, m = len(positions), len(columns)
     best: list[list[tuple[int, float, int]]] = [[(0, 0.0, 1)] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):

@@ -9,6 +9,7 @@ do. What the geometry can't decide is left as it is and noted.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -55,14 +56,15 @@ def runs_of(rows: list[Row], height: float, heads: Callable[[Row], bool], bridge
     ``bridge`` takes as headings; a row that ``heads`` what follows begins a run."""
     if not rows:
         return []
-    references, breaks = rhythm([r.box()[1] for r in rows], height)
+    boxes = [r.box() for r in rows]
+    references, breaks = rhythm([b[1] for b in boxes], height)
     out = [[rows[0]]]
     for i, (above, row) in enumerate(pairwise(rows)):
         apart, headings = row.line - above.line, None
         if not heads(row) and len(above.cells.keys() & row.cells.keys()) >= 2:
             if apart == 1 and i not in breaks:
                 headings = []
-            elif apart in (2, 3) and row.box()[1] - above.box()[3] <= max(BRIDGE_PITCH * references[i], BRIDGE_HEIGHT * height):
+            elif apart in (2, 3) and boxes[i + 1][1] - boxes[i][3] <= max(BRIDGE_PITCH * references[i], BRIDGE_HEIGHT * height):
                 headings = bridge(above, row)
         if headings is None:
             out.append([row])
@@ -96,6 +98,8 @@ class Candidate:
 def realigned(cells: list[Cell]) -> tuple[list[Cell], bool, bool]:
     """Cells with period headers moved to the value columns that they are centred over, in reading order; whether any
     moved, and whether a header row was in conflict and left as it was."""
+    if not any(c.col > 0 and periods_in(c.text.split()) for c in cells):  # as on most pages
+        return sorted(cells, key=lambda c: (c.row, c.col)), False, False
     values = [c for c in cells if c.col > 0 and not period(c.text)]
     columns = sorted({c.col for c in values})
     if len(columns) < 2:
@@ -157,7 +161,7 @@ def gap_grid(page: Page) -> tuple[list[Candidate], list[tuple[str, str]]]:
     bounds = [median(c) for c in clusters_of(gaps, max(3.0, 1.1 * page.height)) if len(c) >= max(2, (len(parts) + 1) // 2)]
     if not bounds:
         return [], [("borderless_no_repeated_columns", "info")]
-    column = lambda item: sum(b < middle(item[0]) for b in bounds)
+    column = lambda item: bisect_left(bounds, middle(item[0]))
     rows, conflicts = [], False
     for n, line in enumerate(parts):
         cells = {column(p): p for p in line}
@@ -329,7 +333,10 @@ def label_groups(page: Page) -> tuple[list[Candidate], list[tuple[str, str]]]:
     if len(page.items) < 10:
         return [], []
     h = page.height
-    parts = [(n, p, *joined(p)) for n, line in enumerate(page.lines) for p in parts_of(line, max(18.0, 2.2 * h))]
+    words = [(n, p) for n, line in enumerate(page.lines) for p in parts_of(line, max(18.0, 2.2 * h))]
+    if not any(group_label(joined(p)[1]) for _, p in words):
+        return [], []
+    parts = [(n, p, *joined(p)) for n, p in words]
     cards: dict[str, list[tuple[Item | None, Item, Item]]] = {}
     for n, _, box, text in parts:
         if not group_label(text):
@@ -412,31 +419,41 @@ LAYOUT = (
 )
 
 
-def _rows_of(page: int, words: list, cells: dict) -> Iterator[tuple]:
+def _rows_of(page: int, words: list, cells: dict, kinds: tuple[str, ...] = ("cells", "notes")) -> Iterator[tuple]:
     tables, notes = tables_of(words, cells)
     none = (None,) * 10
     for n, t in enumerate(tables):
         name = f"p{page}-t{n:02d}"
-        for c in t.cells:
+        for c in t.cells if "cells" in kinds else ():
             yield (page, name, t.method, c.row, c.col, c.rows, c.cols, c.text, *(c.box or (None,) * 4), None, None)
-        for note in t.notes:
+        for note in t.notes if "notes" in kinds else ():
             yield (page, name, t.method, *none[1:], *note)
-    for note in notes:
+    for note in notes if "notes" in kinds else ():
         yield (page, None, *none, *note)
 
 
-def page_layout(words: DataFrame, bordered: DataFrame | None = None) -> DataFrame:
+def page_layout(words: DataFrame, bordered: DataFrame | None = None, together: bool = False, kinds: tuple[str, ...] = ("cells", "notes")) -> DataFrame:
     """Rows of LAYOUT: the cells of each page's tables (code null) and diagnostics (row null), page-wide ones without table_id.
 
     words: page, x0, y0, x1, y1, text, word_no. bordered: cells of tables that a detector found, page, table_no, row, col, text
     and a box, which may be null. Boxes that aren't sound and blank words are left out; a page without words has a diagnostic
-    only if it has bordered cells. A page's words meet in one task, as many as a page holds.
+    only if it has bordered cells. A page's words meet in one task, as many as a page holds. ``together``: they do already, one page
+    after another. ``kinds``: which rows are made, cells or notes or both.
     """
+    if bordered is None:
+
+        def read_words(page: int, rows: list[tuple]) -> Iterator[tuple]:
+            if together:
+                rows.sort(key=lambda r: (r[0] is not None, r[0]))
+            return _rows_of(page, [((x0, y0, x1, y1), text) for _, x0, y0, x1, y1, text in rows], {}, kinds)
+
+        own = words.select("page", "word_no", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
+        return each_page(own, ["word_no"], read_words, LAYOUT, together)
+
     none = F.lit(None).cast("int")
     rows = words.select("page", F.lit(1).alias("kind"), none.alias("table_no"), none.alias("row"), none.alias("col"), "word_no", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
-    if bordered is not None:
-        own = bordered.select("page", F.lit(0).alias("kind"), "table_no", "row", "col", F.lit(0).alias("word_no"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
-        rows = rows.unionByName(own)
+    own = bordered.select("page", F.lit(0).alias("kind"), "table_no", "row", "col", F.lit(0).alias("word_no"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "text")
+    rows = rows.unionByName(own)
 
     def read(page: int, rows: list[tuple]) -> Iterator[tuple]:
         held, tables = [], {}
@@ -445,7 +462,7 @@ def page_layout(words: DataFrame, bordered: DataFrame | None = None) -> DataFram
                 held.append(((x0, y0, x1, y1), text))
             else:
                 tables.setdefault(no, []).append((row, col, text, None if x0 is None else (x0, y0, x1, y1)))
-        return _rows_of(page, held, tables)
+        return _rows_of(page, held, tables, kinds)
 
     return each_page(rows, ["kind", "table_no", "row", "col", "word_no"], read, LAYOUT)
 

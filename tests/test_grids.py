@@ -155,3 +155,35 @@ def test_header_assignment_like_brute_force():
         found, unique = geometry.assign_in_order(tokens, columns, 30.0)
         assert (-sum(c is not None for c in found), round(sum(abs(tokens[i] - columns[c]) for i, c in enumerate(found) if c is not None), 6)) == best[:2]
         assert unique == (sum(w[:2] == best[:2] for w in ways) == 1)
+
+
+def test_a_kind_of_rows_is_made_alone_and_nothing_is_stored(spark, sf_dir):
+    """Notes without cells, cells without notes, each in one pass over words that no sort follows."""
+    from claimspark.operators import grids
+    from claimspark.plans import bridge, catalogue
+    from claimspark.sources import shared
+
+    before = dict(shared._WRITTEN)
+    both = grids.page_layout(bridge.words(spark, sf_dir))
+    own = {"table_candidates": grids.table_cells(both), "table_diagnostics": grids.diagnostics(both)}
+    for name, want in own.items():
+        got = catalogue.QUERIES[name](spark, sf_dir)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    assert shared._WRITTEN == before
+
+
+def test_columns_apart_are_assigned_without_the_table():
+    """Where no token is within reach of two columns, each takes its nearest one: like the table of all choices."""
+    import random
+
+    from claimspark.operators import geometry
+
+    random.seed(7)
+    for _ in range(3000):
+        columns = sorted(random.sample(range(0, 400, 50), random.randint(1, 4)))
+        positions = sorted(random.randint(-60, 460) + random.choice((0, 0.5)) for _ in range(random.randint(0, 7)))
+        assert geometry._nearest(positions, columns, 20.0) in (None, geometry._by_table(positions, columns, 20.0))
+        assert geometry.assign_in_order(positions, columns, 20.0) == geometry._by_table(positions, columns, 20.0)
+    assert geometry._nearest([1.0, 48.0, 55.0], [0.0, 50.0], 20.0) == ([0, 1, None], True)
+    assert geometry._nearest([1.0], [0.0, 10.0], 20.0) is geometry._nearest([5.0, 1.0], [0.0], 9.0) is geometry._nearest([0.1], [0.0], 9.0) is None
